@@ -127,3 +127,38 @@ def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Of a partition sorted by integer keys: tables of whole groups, and the groups' borders in them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        new = np.zeros(len(batch), bool)
+        for k in keys:
+            x = batch.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+            if held:
+                new[0] |= held[-1].column(k)[-1].as_py() != x[0]
+        at = np.flatnonzero(new)
+        if len(at):
+            last = int(at[-1])
+            whole = [*held, batch.slice(0, last)]
+            if sum(map(len, whole)):
+                yield _bordered(whole, keys)
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield _bordered(held, keys)
+
+
+def _bordered(batches: list[pa.RecordBatch], keys: list[str]) -> tuple[pa.Table, np.ndarray]:
+    t = pa.Table.from_batches([b for b in batches if len(b)]).combine_chunks()
+    new = np.zeros(len(t), bool)
+    new[:1] = True
+    for k in keys:
+        x = t[k].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return t, np.append(np.flatnonzero(new), len(t))

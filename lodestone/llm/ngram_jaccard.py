@@ -11,10 +11,12 @@ equal on both sides. Every such choice is a signature: no qualifying pair is
 missed. A set also takes part in the bands of the larger sizes it can match.
 
 Sets that are equal are one class and enter the join once. Classes that share
-a signature are not expanded into pairs: each signature names a pivot, its
-members are held against the pivot exactly, and members already connected
-need no further comparison. What stays unconnected after the pivot rounds is
-compared pair by pair, so no link is lost.
+a signature are not expanded into pairs: each signature only ties its members
+to its smallest one, and the components of these ties are the candidate
+clusters. A cluster is cut into blocks of bounded size; a task gets two blocks,
+counts all their intersections exactly and returns a spanning forest of the
+links it finds. So no link is lost, rows stay linear in the documents of a
+block pair, and a large cluster is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .graph import components
+from .graph import components, local_roots
 from .storage import Scratch
 
 U64 = np.uint64
-SIGNED = "id long, n long, h1 long, h2 long, sigs array<long>"
+SIGNED = "id long, n long, h1 long, sigs array<long>"
+BLOCK_DOCS, BLOCK_FEATURES = 128, 100_000
+BLOOM_BITS = 1 << 23
 
 
 class Bands:
@@ -89,37 +93,106 @@ def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
             yield np.unique(K.shingle_hashes(h[at[i] : at[i + 1]], n))
 
 
+def class_key(s: np.ndarray) -> np.uint64:
+    """64 bits that stand for the whole set."""
+    with np.errstate(over="ignore"):
+        both = np.array([s.sum(dtype=U64), K.mix(s).sum(dtype=U64) + U64(len(s))], U64)
+        return K.mix(both[:1] ^ K.mix(both[1:]))[0]
+
+
 def _sign(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 b = batch.slice(lo, 2000)
-                size, h1, h2, sigs = [], [], [], []
+                size, h1, sigs = [], [], []
                 for s in _sets(b.column(1), n):
                     size.append(len(s))
-                    with np.errstate(over="ignore"):
-                        h1.append(s.sum(dtype=U64))
-                        h2.append(K.mix(s).sum(dtype=U64))
+                    h1.append(class_key(s))
                     sigs.append(signatures(s, bands) if len(s) else s)
-                flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(np.array(h1, U64).view(np.int64)), pa.array(np.array(h2, U64).view(np.int64)), K.ragged(flat, [len(x) for x in sigs], pa.int64())], ["id", "n", "h1", "h2", "sigs"])
+                flat = np.concatenate(sigs).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(np.array(h1, U64).view(np.int64)), K.ragged(flat, [len(x) for x in sigs], pa.int64())], ["id", "n", "h1", "sigs"])
 
     return run
 
 
-def _features(n: int):
+def bloom(ids: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A bitmap over the hashes of ids, of bits / 8 bytes whatever the number of ids."""
+    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+    got = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 31 as int)))").alias("b")).collect()
+    out = np.zeros(bits // 32, np.int64)
+    for r in got:
+        out[r.w] = r.b
+    return out.astype(np.uint32)
+
+
+def _features(n: int, wanted):
+    """Sets of the documents whose hashed id (third column) is in the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                b = batch.slice(lo, 1000)
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
+            for lo in range(0, len(batch), 500):
+                b = batch.slice(lo, 500)
                 sets = list(_sets(b.column(1), n))
-                yield pa.RecordBatch.from_arrays([b.column(0), K.ragged(np.concatenate(sets).view(np.int64), [len(x) for x in sets], pa.int64())], ["id", "features"])
+                key = np.array([class_key(s) for s in sets], U64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), K.ragged(np.concatenate(sets).view(np.int64), [len(x) for x in sets], pa.int64())], ["id", "h1", "features"])
+
+    return run
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, through their common elements only."""
+    a, ia = np.concatenate(left), np.repeat(np.arange(len(left)), [len(x) for x in left])
+    b, ib = np.concatenate(right), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    order = np.argsort(b, kind="stable")
+    b, ib = b[order], ib[order]
+    out = np.zeros(len(left) * len(right), np.int64)
+    lo, hi = np.searchsorted(b, a, "left"), np.searchsorted(b, a, "right")
+    many = np.cumsum(hi - lo)
+    cut = [0, *np.searchsorted(many, np.arange(4_000_000, many[-1] if len(many) else 0, 4_000_000)), len(a)]
+    for s, e in zip(cut, cut[1:], strict=False):
+        times = hi[s:e] - lo[s:e]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        out += np.bincount(np.repeat(ia[s:e] * len(right), times) + ib[np.repeat(lo[s:e], times) + within], minlength=len(out))
+    return out.reshape(len(left), len(right))
+
+
+def _compare(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in K.runs(batches, ["cluster", "bi", "bj"]):
+            side, node = table["side"].to_numpy(), table["h1"].to_numpy()
+            lists = table["features"].combine_chunks() if isinstance(table["features"], pa.ChunkedArray) else table["features"]
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            found_a, found_b = [], []
+            for s, e in zip(at, at[1:], strict=False):
+                left, right = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
+                alone = table["bi"][int(s)] == table["bj"][int(s)]
+                right = left if alone else right
+                if not len(left) or not len(right) or alone and len(left) < 2:
+                    continue
+                sl = [values[offsets[i] : offsets[i + 1]] for i in left]
+                sr = sl if alone else [values[offsets[i] : offsets[i + 1]] for i in right]
+                nl, nr = np.array([len(x) for x in sl]), np.array([len(x) for x in sr])
+                inter = intersections(sl, sr)
+                i, j = np.nonzero(inter * den >= (nl[:, None] + nr[None, :] - inter) * num)
+                a, b = node[left[i]], node[right[j]]
+                a, b = a[a != b], b[a != b]
+                if len(a):
+                    x, root = local_roots(a, b)
+                    found_a.append(x[x != root])
+                    found_b.append(root[x != root])
+            if found_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
 
     return run
 
 
-def ngram_jaccard(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, pivot_rounds: int = 8) -> DataFrame:
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per input row: (id_col, n_shingles, component_id).
 
     Words are runs without ASCII white space, with A-Z taken as a-z. A text of
@@ -128,53 +201,35 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     id keep their n_shingles, get a null component_id and link with nothing.
     Repeated rows stay repeated; rows that share an id are one node. Other
     columns of docs are not read. An empty table gives an empty result.
+    Shingles and sets are told apart by 64-bit hashes.
     """
     scratch = Scratch(spark, "ngram-jaccard")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = scratch.keep(source.mapInArrow(_sign(n, num, den), SIGNED), "signed")
-    light = signed.select("id", "n", "h1", "h2")
-    full = light.where("n > 0 and id is not null")
-    classes = scratch.keep(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")
-
-    reps = classes.select(F.col("rep").alias("id"), F.col("n").alias("rep_n"), F.col("h1").alias("rep_h")).distinct()
-    rows = signed.where("n > 0").join(reps, "id").where("n = rep_n and h1 = rep_h").select(F.explode("sigs").alias("sig"), "id", "n")
-    shared = rows.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sig", F.col("lo").alias("pivot"))
-    members = scratch.keep(rows.join(shared, "sig").select("sig", "id", "n").distinct(), "members")
-
-    wanted = members.select("id").distinct()
-    features = scratch.keep(source.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_features(n), "id long, features array<long>").dropDuplicates(["id", "features"]), "features")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose sets reach the threshold."""
-        both = pairs.join(features.select(F.col("id").alias("b"), F.col("features").alias("fb")), "b").join(features.select(F.col("id").alias("a"), F.col("features").alias("fa")), "a")
-        inter = F.size(F.array_intersect("fa", "fb"))
-        return both.where(inter * den >= (F.size("fa") + F.size("fb") - inter) * num).select("a", "b").distinct()
-
-    fits = F.least("na", "n") * den >= F.greatest("na", "n") * num
-    links, labels, tried = None, None, None
-    for step in range(pivot_rounds + 1):
-        lead = members.groupBy("sig").agg(F.min(F.struct("id", "n")).alias("p")).select("sig", F.col("p.id").alias("a"), F.col("p.n").alias("na"))
-        if step < pivot_rounds:
-            pairs = members.join(lead, "sig").where(F.col("id") != F.col("a")).where(fits).select("a", F.col("id").alias("b")).distinct()
-        else:
-            left = members.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), *([F.col("root").alias("ra")] if labels is not None else []))
-            pairs = left.join(members, "sig").where("a < id").where(fits)
-            pairs = (pairs.where("ra <> root") if labels is not None else pairs).select("a", F.col("id").alias("b")).distinct()
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = scratch.keep(linked(pairs), "links")
-        links = found if links is None else links.unionByName(found)
-        if step == 0 or found.limit(1).count():
-            labels = scratch.keep(components(scratch, links), "labels")
-        open_ = members.select("sig", "id", "n").join(lead, "sig").where(F.col("id") != F.col("a")).select("sig", "id", "n")
-        open_ = open_.join(labels.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        alive = open_.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("sig")
-        members = scratch.keep(open_.join(alive, "sig"), "members")
-        if not members.limit(1).count():
-            break
-
-    root = labels.select(F.col("node").alias("rep"), "root")
-    named = full.join(classes, ["n", "h1", "h2"]).join(root, "rep", "left").select("id", "n", F.coalesce("root", "rep").alias("component_id"))
-    alone = light.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
+    full = signed.where("n > 0 and id is not null")
+    classes = scratch.keep(full.groupBy("h1").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
+
+    rows = full.select(F.explode("sigs").alias("sig"), "h1")
+    shared = rows.groupBy("sig").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("sig", F.col("lo").alias("b"))
+    ties = rows.join(shared, "sig").where("h1 <> b").select(F.col("h1").alias("a"), "b").distinct()
+    tied = components(scratch, ties)
+    tied = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
+    placed = scratch.keep(tied.join(classes, tied.node == classes.h1).select("h1", "rep", "n", F.col("root").alias("cluster")), "placed")
+    blocks = placed.groupBy("cluster").agg(F.expr(f"cast(greatest(ceil(count(*) / {BLOCK_DOCS}), ceil(sum(n) / {BLOCK_FEATURES})) as int)").alias("blocks"))
+    placed = placed.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
+
+    wanted = spark.sparkContext.broadcast(bloom(placed.select(F.col("rep").alias("id"))))
+    sets = source.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)).alias("at")).mapInArrow(_features(n, wanted), "id long, h1 long, features array<long>")
+    here = sets.join(placed.withColumnRenamed("rep", "id"), ["id", "h1"])
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = here.select("cluster", "h1", "features", "block", other).select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("int").alias("side"), "h1", "features")
+    key = ["cluster", "bi", "bj"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_compare(num, den), "a long, b long")
+    root = components(scratch, links)
+
+    named = full.select("id", "n", "h1").join(classes.select("h1", "rep"), "h1").join(root, F.col("h1") == root.node, "left").select("id", "n", "rep", F.coalesce("root", "h1").alias("root"))
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "root").select("id", "n", "component_id")
+    alone = signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     return named.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
