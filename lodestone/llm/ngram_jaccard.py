@@ -41,7 +41,7 @@ BLOOM_BITS = 1 << 23
 class Bands:
     """Size bands and, for each, the cut of the feature domain."""
 
-    def __init__(self, num: int, den: int, growth: float = 1.5, two_level_up_to: int = 64):
+    def __init__(self, num: int, den: int, growth: float = 1.15, two_level_up_to: int = 64):
         self.num, self.den, self.two_level = num, den, two_level_up_to
         self.growth, self.low = growth, [1, 2]
 
@@ -100,9 +100,9 @@ def class_key(s: np.ndarray) -> np.uint64:
         return K.mix(both[:1] ^ K.mix(both[1:]))[0]
 
 
-def _sign(n: int, num: int, den: int):
+def _sign(n: int, num: int, den: int, growth: float = 1.15, two_level: int = 64):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
+        bands = Bands(num, den, growth, two_level)
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 b = batch.slice(lo, 2000)
