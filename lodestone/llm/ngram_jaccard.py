@@ -117,9 +117,9 @@ def _sign(n: int, num: int, den: int, growth: float = 1.15, two_level: int = 64)
     return run
 
 
-def bloom(ids: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A bitmap over the hashes of ids, of bits / 8 bytes whatever the number of ids."""
-    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+def bloom(ids: DataFrame, bits: int = BLOOM_BITS, hashed: bool = False) -> np.ndarray:
+    """A bitmap over the hashes of ids, of bits / 8 bytes whatever the number of ids; hashed: they are places in it."""
+    at = F.col("id") if hashed else F.pmod(F.xxhash64("id"), F.lit(bits))
     got = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 31 as int)))").alias("b")).collect()
     out = np.zeros(bits // 32, np.int64)
     for r in got:

@@ -5,8 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id, token_files
+from .bpe import default_vocabulary
+from .bpe_codec import bpe_codec
+from .decontaminate import leaks
+from .line_dedup import line_dedup
 from .ngram_jaccard import ngram_jaccard
+from .token_counts import length_table, token_lengths
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +22,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=8, share=0.5)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_codec(_table(spark, sf_dir, "documents"), default_vocabulary("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_table(token_lengths(_table(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.json")))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(spark, _table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(spark, _table(spark, sf_dir, "documents"), size=3)
+    return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards, dictionary, width = token_files.write_token_files(spark, _table(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.json"), end_id=2)
+    out = token_files.read_token_files(spark, shards, dictionary, width)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.identify(spark, docs, language_id.train(spark, docs))
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_ngram_jaccard,)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_bpe, op4_token_counts, op5_ngram_jaccard, op8_line_dedup, op9_token_files, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
