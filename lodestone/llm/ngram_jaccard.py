@@ -10,6 +10,14 @@ pair in the band at least one part holds at most k2 differences, where
 equal on both sides. Every such choice is a signature: no qualifying pair is
 missed. A set also takes part in the bands of the larger sizes it can match.
 
+That bound holds always and is kept with miss = 0. Below a threshold of about
+0.9 its choices hold few features each, and unlike sets meet. With miss > 0 a
+choice is a set of parts that holds about FEATURES features, and there are as
+many choices as leave a pair without an equal one with at most that
+probability: parts are dealt by hashes, so k differences spare a choice of the
+share q of the parts with probability (1 - q)^k. Choices without features are
+left out.
+
 Sets that are equal are one class and enter the join once. Classes that share
 a signature are not expanded into pairs: each signature only ties its members
 to its smallest one, and the components of these ties are the candidate
@@ -21,6 +29,7 @@ block pair, and a large cluster is spread over many tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,15 +44,16 @@ from .storage import Scratch
 U64 = np.uint64
 SIGNED = "id long, n long, h1 long, sigs array<long>"
 BLOCK_DOCS, BLOCK_FEATURES = 128, 100_000
-BLOOM_BITS = 1 << 23
+BLOOM_BITS, SHARED_BITS = 1 << 23, 1 << 25
+PARTS, FEATURES = 64, 10
 
 
 class Bands:
     """Size bands and, for each, the cut of the feature domain."""
 
-    def __init__(self, num: int, den: int, growth: float = 1.15, two_level_up_to: int = 64):
-        self.num, self.den, self.two_level = num, den, two_level_up_to
-        self.growth, self.low = growth, [1, 2]
+    def __init__(self, num: int, den: int, miss: float = 0.0, growth: float = 0.0, two_level_up_to: int = 64):
+        self.num, self.den, self.two_level, self.miss = num, den, two_level_up_to, miss
+        self.growth, self.low, self.cuts = growth or (1.4 if miss else 1.15), [1, 2], {}
 
     def _reach(self, n: int) -> None:
         while self.low[-1] <= n:
@@ -60,9 +70,27 @@ class Bands:
         """(n1, n2) for the band; n2 is 1 (k2 = 0) or 3 (k2 = 1)."""
         self._reach(self.low[tag])
         k = 2 * (self.low[tag + 1] - 1) * (self.den - self.num) // (self.den + self.num)
-        if 1 <= k <= self.two_level:
-            return (k + 2) // 2, 3
-        return k + 1, 1
+        return ((k + 2) // 2, 3) if 1 <= k <= self.two_level else (k + 1, 1)
+
+    def choices(self, tag: int) -> tuple[int, np.ndarray]:
+        """For miss > 0: the number of parts, and the parts of each choice (choices, parts in each)."""
+        if tag not in self.cuts:
+            self._reach(self.low[tag])
+            most = self.low[tag + 1] - 1
+            k = 2 * most * (self.den - self.num) // (self.den + self.num)
+            parts = max(PARTS, round(most / FEATURES))
+            each = max(1, min(PARTS // 2, round(parts * FEATURES / most)))
+            clean = (1 - each / parts) ** k * (1 - (1 - each / parts) ** self.low[tag])
+            many = math.ceil(-math.log(self.miss) / clean) if k else 1
+            rng = np.random.default_rng(tag)
+            if k == 0:
+                chosen = np.arange(parts)[None, :]
+            elif each == 1:
+                chosen = rng.permutation(parts)[:many, None]
+            else:
+                chosen = np.argsort(rng.random((many, parts)), axis=1)[:, :each]
+            self.cuts[tag] = parts, chosen
+        return self.cuts[tag]
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
@@ -73,15 +101,17 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
         np.cumsum(K.mix(s ^ U64(0xA5A5A5A5DEADBEEF)), out=sums[1:])
         high = s >> U64(32)
         for tag in bands.tags(len(s)):
-            n1, n2 = bands.cut(tag)
+            n1, n2 = (bands.choices(tag)[0], 1) if bands.miss else bands.cut(tag)
             parts = n1 * n2
             edges = (np.arange(1, parts, dtype=U64) << U64(32)) // U64(parts)
             at = np.concatenate([[0], np.searchsorted(high, edges), [len(s)]])
             part = sums[at[1:]] - sums[at[:-1]]
-            which = np.arange(parts, dtype=U64)
-            if n2 == 3:
+            if bands.miss:
+                part = part[bands.choices(tag)[1]].sum(axis=1, dtype=U64)
+            elif n2 == 3:
                 part = (part.reshape(n1, 3).sum(axis=1, dtype=U64)[:, None] - part.reshape(n1, 3)).ravel()
-            out.append(K.mix(part + K.mix(which + U64(tag << 40))))
+            sig = K.mix(part + K.mix(np.arange(len(part), dtype=U64) + U64(tag << 40)))
+            out.append(sig[part != 0] if bands.miss else sig)
     return np.concatenate(out)
 
 
@@ -100,9 +130,9 @@ def class_key(s: np.ndarray) -> np.uint64:
         return K.mix(both[:1] ^ K.mix(both[1:]))[0]
 
 
-def _sign(n: int, num: int, den: int, growth: float = 1.15, two_level: int = 64):
+def _sign(n: int, num: int, den: int, miss: float, growth: float = 0.0, two_level: int = 64):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den, growth, two_level)
+        bands = Bands(num, den, miss, growth, two_level)
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 b = batch.slice(lo, 2000)
@@ -120,11 +150,28 @@ def _sign(n: int, num: int, den: int, growth: float = 1.15, two_level: int = 64)
 def bloom(ids: DataFrame, bits: int = BLOOM_BITS, hashed: bool = False) -> np.ndarray:
     """A bitmap over the hashes of ids, of bits / 8 bytes whatever the number of ids; hashed: they are places in it."""
     at = F.col("id") if hashed else F.pmod(F.xxhash64("id"), F.lit(bits))
-    got = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 31 as int)))").alias("b")).collect()
-    out = np.zeros(bits // 32, np.int64)
-    for r in got:
-        out[r.w] = r.b
-    return out.astype(np.uint32)
+    got = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 31 as int)))").alias("b")).toArrow()
+    out = np.zeros(bits // 32, np.uint32)
+    out[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.uint32)
+    return out
+
+
+def _set_in(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+
+
+def _shared(bitmap):
+    """(sig, h1) of the signatures whose low bits are in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            lists = batch.column(1)
+            sig, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            keep = _set_in(bits, sig & (SHARED_BITS - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(np.repeat(batch.column(0).to_numpy(), n)[keep])], ["sig", "h1"])
+
+    return run
 
 
 def _features(n: int, wanted):
@@ -134,7 +181,7 @@ def _features(n: int, wanted):
         bits = wanted.value
         for batch in batches:
             at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
+            batch = batch.filter(pa.array(_set_in(bits, at)))
             for lo in range(0, len(batch), 500):
                 b = batch.slice(lo, 500)
                 sets = list(_sets(b.column(1), n))
@@ -192,7 +239,7 @@ def _compare(num: int, den: int):
     return run
 
 
-def ngram_jaccard(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, miss: float = 0.0) -> DataFrame:
     """One row per input row: (id_col, n_shingles, component_id).
 
     Words are runs without ASCII white space, with A-Z taken as a-z. A text of
@@ -205,13 +252,15 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """
     scratch = Scratch(spark, "ngram-jaccard")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = scratch.keep(source.mapInArrow(_sign(n, num, den), SIGNED), "signed")
+    signed = scratch.keep(source.mapInArrow(_sign(n, num, den, miss), SIGNED), "signed")
     full = signed.where("n > 0 and id is not null")
     classes = scratch.keep(full.groupBy("h1").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
 
     rows = full.select(F.explode("sigs").alias("sig"), "h1")
-    shared = rows.groupBy("sig").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("sig", F.col("lo").alias("b"))
-    ties = rows.join(shared, "sig").where("h1 <> b").select(F.col("h1").alias("a"), "b").distinct()
+    shared = scratch.keep(rows.groupBy("sig").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("sig", F.col("lo").alias("b")), "shared")
+    bitmap = spark.sparkContext.broadcast(bloom(shared.select(F.col("sig").bitwiseAND(SHARED_BITS - 1).alias("id")), SHARED_BITS, hashed=True))
+    again = full.select("h1", "sigs").mapInArrow(_shared(bitmap), "sig long, h1 long")
+    ties = again.join(shared, "sig").where("h1 <> b").select(F.col("h1").alias("a"), "b").distinct()
     tied = components(scratch, ties)
     tied = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
     placed = scratch.keep(tied.join(classes, tied.node == classes.h1).select("h1", "rep", "n", F.col("root").alias("cluster")), "placed")
