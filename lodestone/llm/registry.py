@@ -11,9 +11,12 @@ from . import language_id, token_files
 from .bpe import default_vocabulary
 from .bpe_codec import bpe_codec
 from .decontaminate import leaks
+from .embedding_dedup import embedding_dedup
+from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .ngram_jaccard import ngram_jaccard
 from .token_counts import length_table, token_lengths
+from .url_filter import url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +29,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=8, share=0.5)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_codec(_table(spark, sf_dir, "documents"), default_vocabulary("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -39,6 +46,18 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(spark, _table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(spark, _table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+# (verdict, host, path)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(spark, _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(spark, _table(spark, sf_dir, "documents"), size=3)
     return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
@@ -57,7 +76,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_bpe, op4_token_counts, op5_ngram_jaccard, op8_line_dedup, op9_token_files, op10_language_id)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_bpe, op4_token_counts, op5_ngram_jaccard, op6_embedding_dedup, op7_url_filter, op8_line_dedup, op9_token_files, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
