@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .storage import small_batches
 
 
 class Decoder:
@@ -72,5 +72,5 @@ def bpe_codec(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     repeated rows and other columns pass or stay unread; an empty table gives
     an empty result.
     """
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_codec(path, method), "id long, n_tokens long, ids binary, decoded string")
+    out = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_codec(path, method), "id long, n_tokens long, ids binary, decoded string")
     return out.withColumnRenamed("id", id_col)

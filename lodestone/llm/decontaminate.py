@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .ngram_jaccard import BLOOM_BITS, bloom
+from .storage import small_batches
 
 U64 = np.uint64
 # Units of measure and number words.
@@ -143,7 +144,7 @@ def leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, id_col: str =
     shortest = b.agg(F.min(F.size("islots"))).first()[0] or width
     seen = b.select("hash").distinct().mapInArrow(_spread, "id long")
     bits = spark.sparkContext.broadcast(bloom(seen, hashed=True))
-    d = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    d = small_batches(docs).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hits = d.mapInArrow(_rows(width, shortest, bits), _WINDOW).join(b, "hash").where("size(slots) = size(islots)").select("id", "item", "pos", "ipos", "isize", "slots", "islots")
     pairs = hits.groupBy("id", "item").applyInPandas(_judge, "doc_id long, item_id long, item_words long, covered_words long, first_word long, end_word long, n_slots long, n_changed long, consistent boolean")
     return pairs.where(F.col("consistent") & (F.col("covered_words") >= F.col("item_words") * F.lit(share))).drop("consistent")

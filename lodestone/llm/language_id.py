@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .storage import small_batches
 
 UNIT = 32
 _LETTER = np.zeros(256, bool)
@@ -251,4 +252,4 @@ def identify(spark: SparkSession, docs: DataFrame, net: Network, id_col: str = "
     knows no language. Ties go to the language that sorts first. Null ids and
     repeated rows keep their rows; other columns are not read.
     """
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_predict(spark.sparkContext.broadcast(net)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_predict(spark.sparkContext.broadcast(net)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)

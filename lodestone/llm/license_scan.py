@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .decontaminate import _WORD
+from .storage import small_batches
 
 U64 = np.uint64
 SHINGLE, HASHES, LEAST = 5, 96, 0.8
@@ -125,7 +126,7 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
     five words, hold no notice; rows with a null id are left out; repeated rows
     count once. Other columns are not read; an empty table gives no rows.
     """
-    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    d = small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hits = d.mapInArrow(_scan(templates or TEMPLATES), "id long, license string, containment double, first_word long, end_word long")
     best = hits.groupBy("id", "license", "first_word").agg(F.max(F.struct("containment", "end_word")).alias("x"))
     return best.select(F.col("id").alias(id_col), "license", "x.containment", "first_word", "x.end_word")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import Scratch
+from .storage import Scratch, small_batches
 
 WINDOWS = "id long, key long, hashes array<long>, lines array<int>"
 
@@ -65,7 +65,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     """
     scratch = Scratch(spark, "line-dedup")
     key = F.xxhash64(F.col(text_col))
-    windows = scratch.keep(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).alias("text")).mapInArrow(_windows(size), WINDOWS), "windows")
+    windows = scratch.keep(small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).alias("text")).mapInArrow(_windows(size), WINDOWS), "windows")
     each = windows.select("id", "key", F.posexplode("hashes").alias("pos", "h"), "lines").select("id", "key", "pos", "h", F.slice("lines", F.col("pos") + 1, size).alias("lines"))
     first = each.groupBy("h").agg(F.min(F.struct("id", "key", "pos")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h", "f")
     later = each.join(first, "h").where("not (id = f.id and key = f.key and pos = f.pos)")

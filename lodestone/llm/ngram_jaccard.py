@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components, local_roots
-from .storage import Scratch
+from .storage import Scratch, small_batches
 
 U64 = np.uint64
 SIGNED = "id long, n long, h1 long, sigs array<long>"
@@ -200,7 +200,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     out = np.zeros(len(left) * len(right), np.int64)
     lo, hi = np.searchsorted(b, a, "left"), np.searchsorted(b, a, "right")
     many = np.cumsum(hi - lo)
-    cut = [0, *np.searchsorted(many, np.arange(4_000_000, many[-1] if len(many) else 0, 4_000_000)), len(a)]
+    cut = [0, *np.searchsorted(many, np.arange(500_000, many[-1] if len(many) else 0, 500_000)), len(a)]
     for s, e in zip(cut, cut[1:], strict=False):
         times = hi[s:e] - lo[s:e]
         within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -251,7 +251,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     Shingles and sets are told apart by 64-bit hashes.
     """
     scratch = Scratch(spark, "ngram-jaccard")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = scratch.keep(source.mapInArrow(_sign(n, num, den, miss), SIGNED), "signed")
     full = signed.where("n > 0 and id is not null")
     classes = scratch.keep(full.groupBy("h1").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")

@@ -22,6 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with the session's Arrow batches held to so many rows: texts can be long, and each task holds two batches."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 class Scratch:
     """Tables of one operator run; ``drop`` removes one that is no longer read."""
 

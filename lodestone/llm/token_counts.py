@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from .storage import small_batches
 
 BLOCK = 1024
 
@@ -28,7 +29,7 @@ def _lengths(path: str):
 
 def token_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens) of every row; a null text has no tokens."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_lengths(path), "id long, n_tokens long").withColumnRenamed("id", id_col)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_lengths(path), "id long, n_tokens long").withColumnRenamed("id", id_col)
 
 
 def length_table(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .storage import Scratch
+from .storage import Scratch, small_batches
 
 MAGIC = b"LTK1"
 HEAD = struct.Struct("<4sB16sI")
@@ -131,7 +131,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, path: str, end_id: i
     null id come first; rows that repeat an id are ordered by their text.
     """
     scratch = Scratch(spark, "token-files")
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    d = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chosen = [r.id for r in d.select("id").where("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample_docs).collect()]
     got = d.where(F.col("id").isin(chosen)).select("text").mapInArrow(_sample(path), "sample binary, width int").limit(2 * sample_docs).collect() if chosen else []
     width = got[0].width if got else 4
