@@ -24,7 +24,7 @@ import pyarrow as pa
 from . import kernels as K
 
 U64 = np.uint64
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 OTHER, LETTER, NUMBER, BLANK, BORDER, ODD = range(6)
 TOP = 0x2100
 
@@ -71,6 +71,7 @@ def texts(column: pa.Array, most: int = CHUNK_CHARS) -> Iterator[list[str]]:
         size += len(x)
     if out:
         yield out
+    K.release()
 
 
 class Splitter:
@@ -141,7 +142,7 @@ class Splitter:
 class WordTable:
     """Ids of words by their hashes, as arrays; emptied when it holds more than most words."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 500_000):
         self.most = most
         self.clear()
 
@@ -275,7 +276,7 @@ class PrefixTrie:
             ok = seen.get(key)
             if ok is None:
                 ok = self.apart(*key)
-                if len(seen) > 2_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen[key] = ok
             if ok:

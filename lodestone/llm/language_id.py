@@ -148,7 +148,7 @@ class Network:
 class Labeller:
     """Document probabilities, with the sums of each distinct word kept in a bounded table."""
 
-    def __init__(self, net: Network, most: int = 1_000_000):
+    def __init__(self, net: Network, most: int = 500_000):
         self.net, self.most, self.keys = net, most, np.zeros(0, np.uint64)
         self.values = np.zeros((0, len(net.languages) + 1), np.float32)
 
@@ -156,8 +156,8 @@ class Labeller:
         """For each span, the sum of its letters' probabilities and the number of its letters."""
         out = np.empty((len(s), self.values.shape[1]), np.float32)
         order = np.argsort(e - s, kind="stable")
-        for lo in range(0, len(s), 4096):
-            i = order[lo : lo + 4096]
+        for lo in range(0, len(s), 2048):
+            i = order[lo : lo + 2048]
             x, n = padded(raw, s[i], e[i])
             letter = (_LETTER[x] & (x > 0)).astype(np.float32)
             out[i, :-1] = (self.net.probabilities(x, n) * letter[:, :, None]).sum(1)
