@@ -1,13 +1,377 @@
-"""Registered queries of the retrieval engine and their SQL twins."""
+"""Registered queries of the retrieval engine and their SQL twins.
+
+The driver tables stand for the engine's own: a document is a file, its lines
+are chunks, and the vector of the same id belongs to a file's first line.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..config import Settings
+from ..functions import text as T
+from ..operators import chunks as C
+from ..operators import fulltext, hybrid, lexical, usage, vectors
+
 FLAGSHIP = "hybrid_rrf"
+REQUESTS = [(1, "Licensed under the Apache License", 3), (2, "heed handing the erbleor", 10), (3, "schach einpfau lich", 25)]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    r = spark.createDataFrame(REQUESTS, "query_id long, text string, vec_id long")
+    return r.join(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id", "left")
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "documents")
+    return x.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("file_path"), F.col("text").alias("content"), F.col("lang").alias("file_type"))
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("seq", "content")).where(F.col("content").rlike(r"\S"))
+    return x.select((F.col("file_id") * 100000 + F.col("seq")).alias("chunk_id"), "file_id", "seq", F.concat(F.lit("L"), F.col("seq") + 1).alias("name"), F.when(F.col("seq") == 0, "head").otherwise("line").alias("chunk_type"), "content")
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select((F.col("vec_id") * 100000).alias("chunk_id"), "embedding")
+    return lines(spark, d).join(e, "chunk_id", "left")
+
+
+_R = "r as (select * from (values " + ", ".join(f"({q}::bigint, '{t}', {v}::bigint)" for q, t, v in REQUESTS) + ") as x(query_id, text, vec_id))"
+_V = "rv as (select query_id, embedding as q from r join embeddings using (vec_id))"
+_COS = "list_sum(list_transform(list_zip(v, q), lambda p: p[1]::double * p[2]::double)) / (sqrt(list_sum(list_transform(v, lambda p: p::double * p::double))) * sqrt(list_sum(list_transform(q, lambda p: p::double * p::double))))"
+_LINES = r"""l as (select doc_id as file_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) - 1 as seq from documents),
+lines as (select file_id * 100000 + seq as chunk_id, file_id, seq, 'L' || (seq + 1) as name, case when seq = 0 then 'head' else 'line' end as chunk_type, content from l where regexp_matches(content, '\S'))"""
+
+
+def _bm25(out: str, source: str, where: str = "true") -> str:
+    tok = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}0-9]+'), lambda t: t <> '')"
+    return f"""{out}_t as (select distinct query_id, unnest({tok.format('text')}) as term from r),
+{out}_d as (select id, {tok.format('content')} as ts from ({source}) where {where}),
+{out}_s as (select count(*) as n, avg(len(ts)) as mean from {out}_d),
+{out}_x as (select id, len(ts) as dl, unnest(ts) as term from {out}_d),
+{out}_tf as (select id, dl, term, count(*) as tf from {out}_x where term in (select term from {out}_t) group by all),
+{out}_df as (select term, count(*) as df from {out}_tf group by term),
+{out}_p as (select id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean)) as part from {out}_tf join {out}_df using (term), {out}_s),
+{out}_q as (select query_id, id, round(sum(part), 6) as s from {out}_p join {out}_t using (term) group by all),
+{out} as (select query_id, id, round(1000 * s / (s + 10))::int as rank from {out}_q)"""
+
+
+def _ranked(name: str, floor: int = 10) -> str:
+    return f"select query_id, id, rank, row_number() over (partition by query_id order by rank desc, id)::int as pos from {name} where rank >= {floor}"
+
+
+def _vector(source: str, k: int, most: float) -> str:
+    return f"select * from (select *, row_number() over (partition by query_id order by distance, id)::int as pos from (select query_id, id, round(1 - {_COS}, 6) + 0 as distance from ({source}), rv) where distance <= {most}) where pos <= {k}"
+
+
+def _hybrid(kind: str = "true", text: bool = True, top: int = 20) -> str:
+    none = "select null::bigint as query_id, null::bigint as id, null::int as rank, null::int as pos where false"
+    return f"""with {_R}, {_V}, {_LINES},
+v as ({_vector(f'select chunk_id as id, embedding as v from lines join embeddings on chunk_id = vec_id * 100000 where {kind}', 200, 1.0)}),
+{_bm25('cf', 'select chunk_id as id, content, chunk_type from lines', kind)}, c as ({_ranked('cf') if text else none}),
+{_bm25('ff', 'select doc_id as id, text as content from documents')}, f as ({_ranked('ff') if text else none}),
+one as (select query_id, chunk_id, max(distance) as distance, max(vpos) as vpos, max(cpos) as cpos, max(fpos) as fpos from (
+ select query_id, id as chunk_id, distance, pos as vpos, null::int as cpos, null::int as fpos from v
+ union all select query_id, id, null, null, pos, null from c
+ union all select query_id, chunk_id, null, null, null, pos from f join lines on f.id = file_id) group by all),
+s as (select *, coalesce(60 * (1e0 / (60 + vpos)), 0e0) as a, coalesce(30 * (1e0 / (60 + cpos)), 0e0) as b, coalesce(30 * (1e0 / (60 + fpos)), 0e0) as c from one),
+t as (select *, round(a + b + c, 6) as score, case when a > 0 and (b > 0 or c > 0) then 'Hybrid' when a > 0 then 'Vector' else 'FullText' end as match_source from s),
+h as (select query_id, row_number() over (partition by query_id order by score desc, chunk_id)::int as pos, chunk_id, chunk_id // 100000 as file_id, score, round(a, 6) as vector_rrf, round(b, 6) as chunk_fts_rrf, round(c, 6) as file_fts_rrf, distance, match_source from t)
+select * from h where pos <= {top}"""
+
+
+def _run_hybrid(spark, d, **kw) -> DataFrame:
+    r = requests(spark, d)
+    if kw.pop("blank", False):
+        r = r.withColumn("text", F.lit(" "))
+    return hybrid.hybrid_search(spark, r, files(spark, d), chunks(spark, d), **kw)
+
+
+@query(f"with {_R}, {_V} " + _vector("select vec_id as id, embedding as v from embeddings", 20, 2.0))
+def vector_topk(spark, d):
+    return vectors.vector_topk(spark, table(spark, d, "embeddings"), requests(spark, d), 20, 2.0)
+
+
+@query(f"with {_R}, {_V} " + _vector("select vec_id as id, embedding as v from embeddings where label < 5", 50, 0.95))
+def vector_topk_filtered(spark, d):
+    return vectors.vector_topk(spark, table(spark, d, "embeddings").where("label < 5"), requests(spark, d), 50, 0.95)
+
+
+@query(f"with {_R}, {_V} select query_id, vec_id, round({_COS}, 6) + 0 as similarity from (select vec_id, embedding as v from embeddings), rv")
+def cosine_pairwise(spark, d):
+    q = requests(spark, d).where("vector is not null").select("query_id", "vector")
+    return table(spark, d, "embeddings").crossJoin(F.broadcast(q)).select("query_id", "vec_id", (F.round(vectors.cosine_similarity(F.col("embedding"), F.col("vector")), 6) + 0e0).alias("similarity"))
+
+
+@query("select vec_id, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding, lambda p: p::double * p::double))), 6) + 0 as first from embeddings")
+def l2_normalise(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", (F.round(vectors.l2_normalised(F.col("embedding"))[0], 6) + 0e0).alias("first"))
+
+
+@query(f"with {_R}, {_LINES}, {_bm25('cf', 'select chunk_id as id, content from lines')} {_ranked('cf')}")
+def chunk_fts_bm25(spark, d):
+    return fulltext.ranked(fulltext.bm25(lines(spark, d), requests(spark, d), "chunk_id", ["content"]), 10)
+
+
+@query(f"with {_R}, {_bm25('ff', 'select doc_id as id, text as content from documents')} {_ranked('ff')}")
+def file_fts_bm25(spark, d):
+    return fulltext.ranked(fulltext.bm25(files(spark, d), requests(spark, d), "file_id", ["content"]), 10)
+
+
+@query(_hybrid())
+def hybrid_rrf(spark, d):
+    return _run_hybrid(spark, d)
+
+
+@query(_hybrid("chunk_type = 'head'"))
+def hybrid_chunk_type(spark, d):
+    return _run_hybrid(spark, d, chunk_type="head")
+
+
+@query(_hybrid(text=False))
+def hybrid_no_text(spark, d):
+    return _run_hybrid(spark, d, blank=True)
+
+
+@query(f"select query_id, match_source, count(*) as n from ({_hybrid()}) group by all")
+def match_source_counts(spark, d):
+    return _run_hybrid(spark, d).groupBy("query_id", "match_source").agg(F.count("*").alias("n"))
+
+
+_SCORED = "select source as query_id, doc_id as position, (doc_id * 7919 % 1000) / 1000e0 as rerank_score, doc_id % 3 <> 0 as lexical from documents"
+
+
+def _scored(spark, d) -> DataFrame:
+    s = F.col("doc_id")
+    return table(spark, d, "documents").select(F.col("source").alias("query_id"), s.alias("position"), (s * 7919 % 1000 / F.lit(1000e0)).alias("rerank_score"), (s % 3 != 0).alias("lexical"))
+
+
+@query(f"select query_id, position, rerank_score, lexical from (select *, max(rerank_score) over (partition by query_id) as top from ({_SCORED})) where top >= 1e-6 and rerank_score >= case when lexical then top * 0.1 else greatest(top * 0.1, 0.05) end")
+def relevance_gate(spark, d):
+    return hybrid.relevance_gate(_scored(spark, d))
+
+
+@query(f"select query_id, position, rerank_score, lexical from (select *, max(rerank_score) over (partition by query_id) as top from ({_SCORED})) where top >= 1e-6 and rerank_score >= case when lexical then 0 else 0.5 end")
+def gate_vector_only(spark, d):
+    return hybrid.relevance_gate(_scored(spark, d), Settings(min_score_ratio=0.0, min_vector_only_score=0.5))
+
+
+@query("select doc_id, round(1 - 0.001 * (row_number() over (partition by source order by doc_id) - 1), 6) as score from documents")
+def rerank_fallback(spark, d):
+    w = Window.partitionBy("source").orderBy("doc_id")
+    return table(spark, d, "documents").select("doc_id", F.round(hybrid.rerank_fallback(F.row_number().over(w) - 1), 6).alias("score"))
+
+
+_FILES = "files as (select doc_id as file_id, source || '/' || lang || '/' || doc_id || '.txt' as file_path, text as content, lang as file_type from documents)"
+
+
+@query(f"with {_FILES} select file_id, file_path from files where file_path ilike '%SRC1/en%' order by file_path limit 20")
+def filename_search(spark, d):
+    return lexical.filename_search(files(spark, d), "SRC1/en", 20).select("file_id", "file_path")
+
+
+@query("select p_partkey, p_name from part where p_name ilike '%widget%' or p_type ilike '%widget%' or p_name ilike '%small%' or p_type ilike '%small%' order by length(rtrim(p_name)), p_name, p_partkey limit 25")
+def identifier_search(spark, d):
+    p = table(spark, d, "part").withColumn("file_path", F.col("p_name"))
+    hit = lexical.identifier_search(p, ["widget", "small"], ["p_name", "p_type"], "p_name", 1 << 30)
+    return hit.orderBy(F.length(F.rtrim("p_name")), "p_name", "p_partkey").limit(25).select("p_partkey", "p_name")
+
+
+@query(r"select page_id from pages where html ilike '%.track =%' or html ilike '%.Track =%' or html ilike '%.Track% =%'")
+def field_assignment(spark, d):
+    return table(spark, d, "pages").where(lexical.assigns_field(F.col("html"), "track")).select("page_id")
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+@query(rf"""select item_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[ ,?!.''"]+'), lambda t: lower(t)), lambda t: length(t) > 2 and t not in ({_STOP})))), ' ') as words from benchmark""")
+def keywords(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(T.keywords(F.col("text"))), " ").alias("words"))
+
+
+@query(r"""select doc_id, array_to_string(list_filter(regexp_split_to_array(source || ' SearchIndex' || doc_id || ' XMLReader lowercase', '[ ,?!.''"()]+'), lambda t: length(t) >= 8 and regexp_matches(t, '^\p{Lu}') and regexp_matches(t, '\p{Lu}.*\p{Lu}') and regexp_matches(t, '\p{Ll}')), ' ') as terms from documents""")
+def pascal_terms(spark, d):
+    x = F.concat(F.col("source"), F.lit(" SearchIndex"), F.col("doc_id").cast("string"), F.lit(" XMLReader lowercase"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.pascal_terms(x), " ").alias("terms"))
+
+
+@query("""with n as (select distinct p_name || '#' as name from part where length(p_name) >= 7), t as (select distinct substring(s_name, 1, 15) as term from supplier),
+names as (select distinct s_name as name from supplier), p as (select term, name, levenshtein(term, name) as edits from t, names where abs(length(term) - length(name)) <= 3)
+select term, x.name as name, x.edits as edits from (select term, min({'edits': edits, 'name': name}) as x from p where edits <= 3 group by term)""")
+def fuzzy_nearest(spark, d):
+    s = table(spark, d, "supplier")
+    return lexical.fuzzy_nearest(s.select(F.substring("s_name", 1, 15).alias("term")), s.select(F.col("s_name").alias("name")))
+
+
+@query(f"""with {_R}, {_FILES}, {_bm25('ff', 'select doc_id as id, text as content from documents')},
+k as (select file_path, file_type as class_name, rank from ff join files on id = file_id where query_id = 1),
+b as (select * from k union all select file_path, class_name, null from (select file_path, file_type as class_name from files where file_path ilike '%src1/en%' order by file_path limit 10) where file_path not in (select file_path from k)),
+s as (select file_path, class_name, rank, case when rank is null then 100 else greatest(0e0, 100 - 5 * greatest(0e0, 20 - rank / 50.0)) end::double + case when contains('licensed under the apache license', class_name) then 200 else 0 end as score from b)
+select file_path, class_name, rank, round(score, 6) as score, row_number() over (order by score desc, rank desc nulls last, file_path)::int as pos from s order by score desc, rank desc nulls last, file_path limit 20""")
+def fts_only_blend(spark, d):
+    f = files(spark, d).select("file_id", "file_path", F.col("file_type").alias("class_name"))
+    k = fulltext.bm25(files(spark, d), requests(spark, d).where("query_id = 1"), "file_id", ["content"]).join(f, F.col("id") == f.file_id).select("file_path", "class_name", "rank")
+    n = lexical.filename_search(f, "src1/en", 10).select("file_path", "class_name", F.lit(None).cast("int").alias("rank"))
+    return lexical.blend(k, n, REQUESTS[0][1], 20).withColumn("score", F.round("score", 6))
+
+
+@query("select coalesce(nullif(event_type, ''), '(none)') as name, count(*) as n from events group by event_type")
+def facets(spark, d):
+    return usage.facets(table(spark, d, "events"), "event_type")
+
+
+@query(f"with {_LINES} select count(*) as total, count(embedding) as embedded, case when count(*) = 0 or count(embedding) = 0 then 'Red' when count(embedding) < count(*) then 'Yellow' else 'Green' end as status, count(*) > 0 and count(embedding) = count(*) as healthy from lines left join embeddings on chunk_id = vec_id * 100000")
+def index_health(spark, d):
+    return usage.index_health(chunks(spark, d), True)
+
+
+@query("select 'documents' as name, count(*) as n from documents")
+def collection_stats(spark, d):
+    return table(spark, d, "documents").agg(F.count("*").alias("n")).select(F.lit("documents").alias("name"), "n")
+
+
+_CACHE = """cache as (select u.text as query, a.text as answer, u.conv_id * 1000 + u.turn as seq from conversations u join conversations a on u.conv_id = a.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'),
+asked as (select item_id as id, text as query from benchmark union all select conv_id * 1000 + turn + 1000000, case when turn % 4 = 0 then text else lower(text) || ' ' end from conversations where role = 'user'),
+e as (select query, arg_max(answer, seq) as a from cache group by query), n as (select lower(trim(query)) as q, arg_max(answer, seq) as a from cache group by 1),
+look as (select id, coalesce(e.a, n.a) as answer, case when e.a is not null then 'exact' when n.a is not null then 'normalised' else 'miss' end as level from asked left join e using (query) left join n on lower(trim(asked.query)) = n.q)"""
+
+
+def _lookup(spark, d) -> DataFrame:
+    c = table(spark, d, "conversations")
+    u, a = c.where("role = 'user'"), c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    cache = u.join(a, ["conv_id", "turn"]).select(F.col("text").alias("query"), "answer", (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("query"))
+    asked = asked.unionByName(u.select((F.col("conv_id") * 1000 + F.col("turn") + 1000000).alias("id"), F.when(F.col("turn") % 4 == 0, F.col("text")).otherwise(F.concat(F.lower("text"), F.lit(" "))).alias("query")))
+    return usage.cache_lookup(asked, cache)
+
+
+@query(f"with {_CACHE} select * from look")
+def cache_lookup(spark, d):
+    return _lookup(spark, d)
+
+
+@query(f"with {_CACHE} select count(*) as asked, count(*) filter (level <> 'miss') as hits, count(*) filter (level = 'miss') as misses, round(coalesce(count(*) filter (level <> 'miss') / nullif(count(*), 0), 0), 6) as hit_rate from look")
+def cache_stats(spark, d):
+    return usage.cache_stats(_lookup(spark, d))
+
+
+@query("select event_id, ts, case when event_type in ('click', 'view') then 'search' when event_type = 'purchase' then 'ask' else 'feedback' end as event_type, substring(trim(coalesce(props, '')), 1, 400) as question, greatest(0, least(trunc(value), 2147483647))::int as duration_ms from events where lower(trim(substring(trim(coalesce(props, '')), 1, 400))) <> 'warmup keepalive'")
+def telemetry_append(spark, d):
+    kind = F.when(F.col("event_type").isin("click", "view"), "search").when(F.col("event_type") == "purchase", "ask").otherwise("feedback")
+    return usage.usage_rows(table(spark, d, "events"), F.col("props"), kind, F.col("value"))
+
+
+@query("select cast(ts as date)::varchar as day, event_type, count(*) as n from events group by all")
+def telemetry_usage_daily(spark, d):
+    return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))
+
+
+@query(r"select page_id, (regexp_matches(p, '(?i)^(.*/)?[^/]*\.html$') or regexp_matches(p, '(?i)^.*example\.com/en/.*$')) and not regexp_matches(p, '(?i)^(.*/)?de/.*$') as listed from (select page_id, regexp_replace(replace(url, chr(92), '/'), '^/+', '') as p from pages)")
+def glob_filter(spark, d):
+    return table(spark, d, "pages").select("page_id", T.glob_match(F.col("url"), ["**/*.html", "**example.com/en/**"], ["**/de/**"]).alias("listed"))
+
+
+@query(r"""with x as (select page_id, regexp_replace(regexp_replace(trim(regexp_replace(url, '[?#].*$', '')), '/+$', ''), '(?i)\.git$', '') as u from pages)
+select page_id, regexp_extract(u, '^(?:https?://[^/]+/|[^@/]+@[^:/]+:)?([^/:\s]+)/([^/:\s]+)$', 1) as owner, regexp_extract(u, '^(?:https?://[^/]+/|[^@/]+@[^:/]+:)?([^/:\s]+)/([^/:\s]+)$', 2) as repo from x""")
+def repo_url_parse(spark, d):
+    r = T.repo_parts(F.regexp_replace("url", r"[?#].*$", ""))
+    return table(spark, d, "pages").select("page_id", r["owner"].alias("owner"), r["repo"].alias("repo"))
+
+
+_IP = "case event_id % 4 when 0 then '10.0.' || user_id || '.1:8080, 10.1.1.1' when 1 then '2001:db8::' || user_id when 2 then ' ' else '10.0.0.' || user_id end"
+
+
+@query(f"with x as (select event_id, trim(split_part({_IP}, ',', 1)) as h from events) select event_id, nullif(substring(case when length(h) - length(replace(h, ':', '')) = 1 then split_part(h, ':', 1) else h end, 1, 45), '') as ip from x")
+def ip_normalise(spark, d):
+    return table(spark, d, "events").select("event_id", T.client_ip(F.expr(_IP)).alias("ip"))
+
+
+@query(r"select doc_id, (len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) * 6 // 5)::int as tokens from documents")
+def token_estimate(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(r"select doc_id, case when len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) <= 42 then text else regexp_extract(text, '^\s*(?:\S+\s+){41}\S+', 0) end as preview from documents")
+def leading_preview(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
+
+
+@query("""with k as (select doc_id, source || '/' || lang || '/' || doc_id || ':line:L1:1' as key from documents)
+select doc_id, key, list_reduce(list_prepend(2166136261::hugeint, list_transform(string_split(key, ''), lambda c: ascii(c)::hugeint)), lambda h, c: xor(h, c) * 16777619 & 4294967295)::bigint as hash from k""")
+def chunk_key_fnv(spark, d):
+    key = F.concat_ws(":", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.lit("line"), F.lit("L1"), F.lit("1"))
+    return table(spark, d, "documents").select("doc_id", key.alias("key"), T.fnv1a(key).alias("hash"))
+
+
+@query(f"with h as ({_hybrid(top=8)}), x as (select h.query_id, h.pos, 'doc' || h.file_id as source, content from h join (with {_LINES} select chunk_id, content from lines) using (chunk_id)) select query_id, string_agg('// File: ' || source || chr(10) || content || chr(10) || chr(10), '' order by pos) as context, true as grounded from x group by query_id")
+def chat_context(spark, d):
+    h = _run_hybrid(spark, d, top_n=8).join(lines(spark, d).select("chunk_id", "content"), "chunk_id")
+    x = usage.chat_context(h.select("query_id", "pos", F.concat(F.lit("doc"), F.col("file_id").cast("string")).alias("source"), "content"))
+    return x.select("query_id", "context", "grounded")
+
+
+@query(r"select conv_id, turn, coalesce(regexp_matches(text, '\S'), false) as grounded from conversations")
+def grounding_guard(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.grounded(F.col("text")).alias("grounded"))
+
+
+@query("select source, count(*) as listed, count(*) filter (lang <> 'es') as staged, count(*) filter (lang <> 'es') >= floor(count(*) * 0.95) as complete from documents group by source")
+def completion_guard(spark, d):
+    g = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("listed"), F.count_if(F.col("lang") != "es").alias("staged"))
+    return g.withColumn("complete", F.col("staged") >= F.floor(F.col("listed") * F.lit(Settings().promotion_ratio)))
+
+
+_EST = r"(len(list_filter(regexp_split_to_array(content, '\s+'), lambda t: t <> '')) * 6 // 5)"
+
+
+@query(f"""with {_LINES}, x as (select *, {_EST} < 50 as small from lines), y as (select *, case when small and coalesce(lag(small) over (partition by file_id order by seq), false) then 0 else 1 end as edge from x),
+z as (select *, sum(edge) over (partition by file_id order by seq) as run from y)
+select file_id, min(seq)::int as seq, case when count(*) > 1 then 'members' else 'line' end as chunk_type, string_agg(name, '+' order by seq) as name, string_agg(content, chr(10) || chr(10) order by seq) as content from z group by file_id, run""")
+def merge_undersized(spark, d):
+    return C.merge_undersized(lines(spark, d))
+
+
+@query(rf"""with {_LINES}, x as (select *, lead(content) over (partition by file_id order by seq) as nxt from lines)
+select chunk_id, case when nxt is not null and {_EST} < 380 then content || chr(10) || '// next: ' || case when len(list_filter(regexp_split_to_array(nxt, '\s+'), lambda t: t <> '')) <= 42 then nxt else regexp_extract(nxt, '^\s*(?:\S+\s+){{41}}\S+', 0) end else content end as content from x""")
+def sibling_overlap(spark, d):
+    return C.sibling_overlap(lines(spark, d)).select("chunk_id", "content")
+
+
+@query(None)
+def split_oversized(spark, d):
+    return C.split_oversized(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+
+
+@query("select doc_id, case when pos > 0 and length(text) > 1500 then substring(text, 1, 1500) || chr(10) || '... [truncated] ...' else text end as content from (select *, row_number() over (partition by source order by doc_id) - 1 as pos from documents)")
+def content_truncation(spark, d):
+    pos = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    return table(spark, d, "documents").select("doc_id", "text", pos.alias("pos")).select("doc_id", T.truncated(F.col("text"), F.col("pos")).alias("content"))
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
