@@ -51,14 +51,15 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> Data
     return each.groupBy("antecedent", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor")).withColumnRenamed("antecedent", "condition")
 
 
-def url_filter(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", min_support: float = 0.002, min_confidence: float = 0.5) -> DataFrame:
+def url_filter(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", min_support: float = 0.002, min_confidence: float = 0.6, min_pages: int = 20) -> DataFrame:
     """One row per row of pages: (id_col, host, path, rule, verdict).
 
     rules: (verdict, host, path); a rule fits its host and all subdomains if
     the path starts with the rule's; the longest wins, of equal ones the first
     by name. They are a list of the caller's and part of the plan. Without a
     fitting rule the verdict is block if a mined rule matches, else allow; rule
-    is then null. labels (doc_id, quality, toxic) label the pages of the same
+    is then null. A mined condition needs min_support of the labelled pages, and
+    min_pages of them at least, so a few labels teach nothing. labels (doc_id, quality, toxic) label the pages of the same
     id: blocked if toxic = 1 or quality = 0; null marks count as not. A null
     URL, or one without "://", has empty parts, fits no rule and is allowed.
     Repeated rows stay; empty tables and labels give no mined rules.
@@ -74,8 +75,9 @@ def url_filter(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules:
     marked = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.coalesce(F.bool_or((F.col("toxic") == 1) | (F.col("quality") == 0)), F.lit(False)).alias("blocked"))
     known = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u")).where(F.col("u").contains("://")).join(marked, "id").select(tokens("u").alias("tokens"), "blocked")
     open_ = p.where("by_rule is null and host <> ''").select("u").distinct().withColumn("tokens", tokens("u"))
-    if known.limit(1).count():
-        mined = mine(known, min_support, min_confidence)
+    pages_known = known.count()
+    if pages_known >= min_pages:
+        mined = mine(known, max(min_support, min_pages / pages_known), min_confidence)
         hit = open_.withColumn("anchor", F.explode("tokens")).join(mined, "anchor").where(F.size(F.array_except("condition", "tokens")) == 0).select("u").distinct().withColumn("hit", F.lit(True))
         p = p.join(hit, "u", "left")
     else:
