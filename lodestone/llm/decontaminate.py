@@ -146,7 +146,8 @@ def leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, id_col: str =
     bits = spark.sparkContext.broadcast(bloom(seen, hashed=True))
     d = small_batches(docs).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hits = d.mapInArrow(_rows(width, shortest, bits), _WINDOW).join(b, "hash").where("size(slots) = size(islots)").select("id", "item", "pos", "ipos", "isize", "slots", "islots")
-    pairs = hits.groupBy("id", "item").applyInPandas(_judge, "doc_id long, item_id long, item_words long, covered_words long, first_word long, end_word long, n_slots long, n_changed long, consistent boolean")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = hits.repartition(parts, "id", "item").groupBy("id", "item").applyInPandas(_judge, "doc_id long, item_id long, item_words long, covered_words long, first_word long, end_word long, n_slots long, n_changed long, consistent boolean")
     return pairs.where(F.col("consistent") & (F.col("covered_words") >= F.col("item_words") * F.lit(share))).drop("consistent")
 
 

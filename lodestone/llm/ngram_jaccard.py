@@ -46,6 +46,7 @@ SIGNED = "id long, n long, h1 long, sigs array<long>"
 BLOCK_DOCS, BLOCK_FEATURES = 128, 100_000
 BLOOM_BITS, SHARED_BITS = 1 << 23, 1 << 25
 PARTS, FEATURES = 64, 10
+FIRST = 8
 
 
 class Bands:
@@ -160,16 +161,17 @@ def _set_in(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
 
 
-def _shared(bitmap):
-    """(sig, h1) of the signatures whose low bits are in the bitmap."""
+def _shared(bitmap, share: int):
+    """(sig, node), each once for a batch, of the signatures in the bitmap; share n: of one signature in n by its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
             lists = batch.column(1)
             sig, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            keep = _set_in(bits, sig & (SHARED_BITS - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(np.repeat(batch.column(0).to_numpy(), n)[keep])], ["sig", "h1"])
+            keep = _set_in(bits, sig & (SHARED_BITS - 1)) & ((sig >> 40) % share == 0)
+            both = pa.table({"sig": sig[keep], "node": np.repeat(batch.column(0).to_numpy(), n)[keep]})
+            yield from both.group_by(["sig", "node"]).aggregate([]).select(["sig", "node"]).combine_chunks().to_batches()
 
     return run
 
@@ -259,9 +261,14 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     rows = full.select(F.explode("sigs").alias("sig"), "h1")
     shared = scratch.keep(rows.groupBy("sig").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("sig", F.col("lo").alias("b")), "shared")
     bitmap = spark.sparkContext.broadcast(bloom(shared.select(F.col("sig").bitwiseAND(SHARED_BITS - 1).alias("id")), SHARED_BITS, hashed=True))
-    again = full.select("h1", "sigs").mapInArrow(_shared(bitmap), "sig long, h1 long")
-    ties = again.join(shared, "sig").where("h1 <> b").select(F.col("h1").alias("a"), "b").distinct()
-    tied = components(scratch, ties)
+    # a few signatures tie large groups together; the rest then see one node for each group
+    some = full.select("h1", "sigs").mapInArrow(_shared(bitmap, FIRST), "sig long, node long").join(shared, "sig")
+    first = components(scratch, some.where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    nodes = full.select("h1", "sigs").join(first, F.col("h1") == F.col("node"), "left").select(F.coalesce("root", "h1").alias("node"), "sigs")
+    rest = scratch.keep(nodes.mapInArrow(_shared(bitmap, 1), "sig long, node long").distinct(), "rest")
+    least = rest.groupBy("sig").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b < hi").select("sig", "b")
+    more = rest.join(least, "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    tied = components(scratch, more.unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     tied = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
     placed = scratch.keep(tied.join(classes, tied.node == classes.h1).select("h1", "rep", "n", F.col("root").alias("cluster")), "placed")
     blocks = placed.groupBy("cluster").agg(F.expr(f"cast(greatest(ceil(count(*) / {BLOCK_DOCS}), ceil(sum(n) / {BLOCK_FEATURES})) as int)").alias("blocks"))
