@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .storage import small_batches
+from .storage import Scratch, small_batches
 
 BLOCK = 1024
 
@@ -41,9 +41,10 @@ def length_table(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:
     quantile: share of the documents at most this long. Null lengths are not
     counted; an empty table gives an empty result. The sums run within blocks
     of BLOCK lengths and over the blocks' totals, never over all rows at once.
+    The histogram is written once, so the texts are encoded once.
     """
     hist = lengths.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("length")).agg(F.count("*").alias("n_docs"))
-    hist = hist.withColumn("block", F.floor(F.col("length") / BLOCK))
+    hist = Scratch(lengths.sparkSession, "token-counts").keep(hist.withColumn("block", F.floor(F.col("length") / BLOCK)), "histogram")
     up = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     zero = lambda c: F.coalesce(c, F.lit(0))
