@@ -52,7 +52,7 @@ FIRST = 8
 class Bands:
     """Size bands and, for each, the cut of the feature domain."""
 
-    def __init__(self, num: int, den: int, miss: float = 0.0, growth: float = 0.0, two_level_up_to: int = 64):
+    def __init__(self, num: int, den: int, miss: float = 0.0, growth: float = 0.0, two_level_up_to: int = 24):
         self.num, self.den, self.two_level, self.miss = num, den, two_level_up_to, miss
         self.growth, self.low, self.cuts = growth or (1.4 if miss else 1.15), [1, 2], {}
 
@@ -131,7 +131,7 @@ def class_key(s: np.ndarray) -> np.uint64:
         return K.mix(both[:1] ^ K.mix(both[1:]))[0]
 
 
-def _sign(n: int, num: int, den: int, miss: float, growth: float = 0.0, two_level: int = 64):
+def _sign(n: int, num: int, den: int, miss: float, growth: float = 0.0, two_level: int = 24):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den, miss, growth, two_level)
         for batch in batches:
