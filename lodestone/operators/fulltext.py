@@ -13,16 +13,16 @@ K1, B, HALF = 1.2, 0.75, 10.0
 def bm25(docs: DataFrame, requests: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     """(query_id, id, rank): rank = round(1000 s / (s + HALF)) of the BM25 sum s, 0 to 1000.
 
-    Only terms of the requests are exploded; the requests' terms are a small
-    side of known size, and frequencies are aggregated by document before
-    they meet the requests.
+    One row of docs for each id. Frequencies are counted within the row, for
+    the requests' terms only, so no shuffle moves words; the requests' terms
+    and their document frequencies are sides of the batch's size.
     """
     terms = requests.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     d = docs.select(F.col(id_col).alias("id"), T.tokens(F.concat_ws(" ", *text_cols)).alias("ts"))
     stats = d.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("mean"))
     wanted = terms.agg(F.collect_set("term").alias("wanted"))
-    hits = d.crossJoin(F.broadcast(wanted)).select("id", F.size("ts").alias("dl"), F.explode(F.filter("ts", lambda t: F.array_contains("wanted", t))).alias("term"))
-    tf = hits.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    found = F.transform(F.array_intersect("wanted", "ts"), lambda w: F.struct(w.alias("term"), F.size(F.filter("ts", lambda t: t == w)).alias("tf")))
+    tf = d.crossJoin(F.broadcast(wanted)).select("id", F.size("ts").alias("dl"), F.explode(found).alias("x")).select("id", "dl", "x.*")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     s = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
     idf = F.log(1e0 + (F.col("n") - F.col("df") + 0.5e0) / (F.col("df") + 0.5e0))

@@ -23,6 +23,9 @@ def hybrid_search(spark: SparkSession, requests: DataFrame, files: DataFrame, ch
     leg only; a blank text leaves out both text legs. Payload is joined by the
     caller, after the limit.
     """
+    # The legs' union must not claim their common partitioning: it would put each
+    # request in one task, and legs coalesced apart cannot be paired.
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     own = chunks if chunk_type is None else chunks.where(F.col("chunk_type") == chunk_type)
     v = vector_topk(spark, own.where("embedding is not null"), requests, cfg.vector_candidates, cfg.max_distance, "chunk_id", "embedding").select("query_id", F.col("id").alias("chunk_id"), "distance", F.col("pos").alias("vpos"))
     asked = requests.where(F.col("text").rlike(r"\S"))
@@ -48,14 +51,18 @@ def rerank_fallback(position: Column) -> Column:
     return 1e0 - 0.001e0 * position
 
 
+def passes_gate(cfg: Settings = Settings()) -> Column:
+    """Whether a scored row is near the best score of its query (see relevance_gate)."""
+    top = F.max("rerank_score").over(Window.partitionBy("query_id"))
+    floor = top * cfg.min_score_ratio
+    floor = F.when(F.coalesce("lexical", F.lit(True)), floor).otherwise(F.greatest(floor, F.lit(cfg.min_vector_only_score)))
+    return (top >= cfg.min_top_score) & (F.col("rerank_score") >= floor)
+
+
 def relevance_gate(scored: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Keep rows near the best score of their query.
 
     scored (query_id, position, rerank_score, lexical): lexical null counts as
     supported. A query whose best score is below min_top_score keeps nothing.
     """
-    w = Window.partitionBy("query_id")
-    top = F.max("rerank_score").over(w)
-    floor = F.col("top") * cfg.min_score_ratio
-    floor = F.when(F.coalesce("lexical", F.lit(True)), floor).otherwise(F.greatest(floor, F.lit(cfg.min_vector_only_score)))
-    return scored.withColumn("top", top).where((F.col("top") >= cfg.min_top_score) & (F.col("rerank_score") >= floor)).drop("top")
+    return scored.withColumn("near", passes_gate(cfg)).where("near").drop("near")

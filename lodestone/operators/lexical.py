@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import text as T
+from .fulltext import bm25
 
 
 def literal_like(x: str) -> str:
@@ -65,3 +67,54 @@ def blend(fts: DataFrame, by_name: DataFrame, question: str, n: int) -> DataFram
     w = Window.orderBy(F.desc("score"), F.desc_nulls_last("rank"), "file_path")
     top = both.withColumn("score", score).orderBy(F.desc("score"), F.desc_nulls_last("rank"), "file_path").limit(n)
     return top.withColumn("pos", F.row_number().over(w))
+
+
+def asked_field(spark: SparkSession, question: str) -> str:
+    """The field a question about filled or populated fields names; empty where it asks something else."""
+    q = question.lower()
+    if "field" not in q or not ("filled" in q or "populated" in q):
+        return ""
+    return spark.range(1).select(F.regexp_extract(F.lit(question), r"(?i)field\s+(\w+)", 1)).first()[0]
+
+
+def corrected(terms: list[str], names: DataFrame, spark: SparkSession, cfg: Settings = Settings()) -> list[str]:
+    """Each term as its nearest class name; a term without one stays as it is, in its place."""
+    near = fuzzy_nearest(spark.createDataFrame([(t,) for t in terms], "term string"), names, cfg.fuzzy_edits, cfg.fuzzy_min_length)
+    found = {r.term: r.name for r in near.collect()}  # at most one row for each term of a question
+    return [found.get(t, t) for t in terms]
+
+
+def fallback_search(spark: SparkSession, files: DataFrame, question: str, n: int) -> DataFrame:
+    """(file_path, class_name, rank) without vectors; rank is null for pattern hits.
+
+    files (file_id, file_path, class_name, base_class, method_names,
+    property_names, content). A question for a field that is assigned
+    somewhere gets those files; else one that names identifiers gets files
+    with them, and where there are none, files with the nearest class names
+    (tried once); else its keywords go to the full text.
+    """
+    pattern = lambda df: df.select("file_path", "class_name", F.lit(None).cast("int").alias("rank"))
+    field = asked_field(spark, question)
+    if field:
+        hit = files.where(assigns_field(F.col("content"), field)).orderBy("file_path").limit(n)
+        if not hit.isEmpty():
+            return pattern(hit)
+    words = spark.range(1).select(T.pascal_terms(F.lit(question)).alias("names"), T.keywords(F.lit(question)).alias("words")).first()
+    if words.names:
+        columns = ["class_name", "base_class", "method_names", "property_names"]
+        hit = identifier_search(files, list(words.names), columns, "class_name", n)
+        if hit.isEmpty():
+            names = files.select(F.col("class_name").alias("name")).where(F.col("name") != "")
+            hit = identifier_search(files, corrected(list(words.names), names, spark), columns, "class_name", n)
+        return pattern(hit)
+    asked = spark.createDataFrame([(0, " ".join(words.words))], "query_id long, text string")
+    ranks = bm25(files, asked, "file_id", ["content"]).where("rank > 0")
+    top = ranks.orderBy(F.desc("rank"), "id").limit(n)
+    return top.join(files.select(F.col("file_id").alias("id"), "file_path", "class_name"), "id").select("file_path", "class_name", "rank")
+
+
+def fallback(spark: SparkSession, files: DataFrame, question: str, n: int = 5) -> DataFrame:
+    """The blended fallback: over-fetched hits, files named like the question, name boosts, the best n."""
+    hits = fallback_search(spark, files, question, max(4 * n, 20))
+    named = files.limit(0) if len(question.strip()) < 2 else filename_search(files, question.strip(), n)
+    return blend(hits, named.select("file_path", "class_name", F.lit(None).cast("int").alias("rank")), question, n)

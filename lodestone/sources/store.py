@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Store:
-    """Tables below a folder; ``manifest`` names the live version, so a switch is one rename."""
+    """Tables below a folder; ``manifest`` names the live version, so a switch is one atomic rename."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -20,7 +20,9 @@ class Store:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
     def stage(self, tables: dict[str, DataFrame]) -> str:
-        version = uuid.uuid4().hex
+        return self.add(uuid.uuid4().hex, tables)
+
+    def add(self, version: str, tables: dict[str, DataFrame]) -> str:
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{version}/{name}")
         return version
@@ -35,10 +37,11 @@ class Store:
         out = fs.create(new, True)
         out.write(bytearray(json.dumps({"version": version} | facts).encode()))
         out.close()
-        if fs.exists(live):
-            fs.delete(live, False)
-        if not fs.rename(new, live):
-            raise OSError("the manifest could not be switched")
+        jvm = self.spark.sparkContext._jvm
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(new, live, options)
 
     def manifest(self) -> dict:
         rows = self.spark.read.text(f"{self.root}/manifest.json", wholetext=True).collect()
@@ -46,3 +49,35 @@ class Store:
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.manifest()['version']}/{table}")
+
+    def exists(self, table: str) -> bool:
+        fs, path = self._fs()
+        return fs.exists(path(f"{self.root}/manifest.json")) and fs.exists(path(f"{self.root}/{self.manifest()['version']}/{table}"))
+
+    def count(self, table: str) -> int:
+        """Rows of the live table; 0 where it is missing."""
+        return self.read(table).count() if self.exists(table) else 0
+
+    def has_content(self, *tables: str) -> bool:
+        return any(self.exists(t) and not self.read(t).isEmpty() for t in tables)
+
+    def create_if_missing(self, schemas: dict[str, str]) -> None:
+        """Empty tables where the live version lacks any; never drops rows."""
+        if not all(self.exists(t) for t in schemas):
+            self.promote(self.stage({t: self.read(t) if self.exists(t) else self.spark.createDataFrame([], s) for t, s in schemas.items()}))
+
+    def reset(self) -> None:
+        """A live version with the same tables, all empty."""
+        fs, path = self._fs()
+        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.root}/{self.manifest()['version']}")) if s.isDirectory()]
+        self.promote(self.stage({t: self.read(t).limit(0) for t in names}))
+
+
+def replaced(live: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """live with the rows of the same key exchanged for the given ones."""
+    return live.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True)
+
+
+def cascaded(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """The children whose parent is still there."""
+    return children.join(parents.select(key), key, "left_semi")
