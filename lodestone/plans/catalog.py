@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
+from ..models import tokenizers
 from ..operators import chunks as C
-from ..operators import fulltext, hybrid, lexical, usage, vectors
+from ..operators import fulltext, hybrid, lexical, parsed, rerank, usage, vectors
+from ..sources import files as sources
+from ..sources import store
+from ..streaming import usage as usage_stream
 
 FLAGSHIP = "hybrid_rrf"
 REQUESTS = [(1, "Licensed under the Apache License", 3), (2, "heed handing the erbleor", 10), (3, "schach einpfau lich", 25)]
@@ -369,6 +373,141 @@ def content_truncation(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", pos.alias("pos")).select("doc_id", T.truncated(F.col("text"), F.col("pos")).alias("content"))
 
 
+@query(f"with {_R}, {_LINES}, {_bm25('ff', 'select doc_id as id, text as content from documents')}, f as ({_ranked('ff')}) select query_id, chunk_id, pos as fpos from f join lines on f.id = file_id")
+def file_hits_expand(spark, d):
+    f = fulltext.ranked(fulltext.bm25(files(spark, d), requests(spark, d), "file_id", ["content"]), 10)
+    return f.select("query_id", F.col("id").alias("file_id"), F.col("pos").alias("fpos")).join(lines(spark, d).select("file_id", "chunk_id"), "file_id").select("query_id", "chunk_id", "fpos")
+
+
+@query(f"""with s as ({_SCORED}), w as (select *, count(*) over (partition by query_id) as n, max(rerank_score) over (partition by query_id) as top from s),
+k as (select * from w where n = 1 or (top >= 1e-6 and rerank_score >= case when lexical then top * 0.1 else greatest(top * 0.1, 0.05) end))
+select query_id, position, row_number() over (partition by query_id order by rerank_score desc, position)::int as pos from k""")
+def rerank_order(spark, d):
+    s = _scored(spark, d)
+    return rerank.join_scores(s.drop("rerank_score"), s.select("query_id", "position", "rerank_score")).select("query_id", "position", "pos")
+
+
+@query(f"select query_id, position from ({_SCORED}) where false")
+def gate_degenerate_empty(spark, d):
+    s = _scored(spark, d).withColumn("rerank_score", F.col("rerank_score") * 1e-9)
+    return hybrid.relevance_gate(s).select("query_id", "position")
+
+
+@query(f"""with s as ({_SCORED}), b as (select query_id, count(*) as had, count(*) filter (lexical) as vector_backed, max(rerank_score) as top from s group by query_id),
+k as (select query_id, count(*) as kept from s join b using (query_id) where rerank_score >= case when lexical then top * 0.1 else greatest(top * 0.1, 0.05) end group by query_id)
+select query_id, vector_backed, had - coalesce(kept, 0) as dropped from b left join k using (query_id)""")
+def gate_dropped(spark, d):
+    s = _scored(spark, d).withColumn("match_source", F.when(F.col("lexical"), "Hybrid").otherwise("FullText"))
+    return rerank.dropped(s, hybrid.relevance_gate(s))
+
+
+@query(f"with {_FILES}, n as (select * from files where file_path ilike '%src1/%'), f as (select * from files where file_type = 'en') select file_id, file_path from f union all select file_id, file_path from n where file_path not in (select file_path from f)")
+def filename_merge_anti(spark, d):
+    f = files(spark, d)
+    hits, named = f.where("file_type = 'en'"), f.where(F.col("file_path").ilike("%src1/%"))
+    return hits.unionByName(named.join(hits.select("file_path"), "file_path", "left_anti")).select("file_id", "file_path")
+
+
+@query("select p_partkey, round(case when p_size % 7 = 0 then 100 else least(100, (p_size * 37) / 10) end, 6)::double as score from part")
+def fts_score(spark, d):
+    rank = F.when(F.col("p_size") % 7 != 0, F.col("p_size") * 37)
+    return table(spark, d, "part").select("p_partkey", F.round(lexical.fts_score(rank), 6).alias("score"))
+
+
+@query("select user_id, count(*) as n from events group by user_id order by n desc, user_id limit 10")
+def cache_stats_top10(spark, d):
+    g = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return g.orderBy(F.desc("n"), "user_id").limit(10)
+
+
+@query(f"with {_CACHE} select id, answer from look where level <> 'miss'")
+def known_answers(spark, d):
+    return _lookup(spark, d).where("level <> 'miss'").select("id", "answer")
+
+
+@query("""with h as (select props as author, user_id::varchar as file_path, ts, event_id from events where user_id % 2 = 0),
+o as (select file_path, min({'ts': ts, 'i': event_id}) as a, max({'ts': ts, 'i': event_id}) as b from h group by file_path)
+select file_path, 'User' || (a.i % 7) as oldest, strftime(a.ts, '%Y-%m-%d') as added, 'User' || (b.i % 7) as newest, strftime(b.ts, '%Y-%m-%d') as changed from o""")
+def author_oldest_newest(spark, d):
+    who = F.concat(F.lit("User"), (F.col("event_id") % 7).cast("string"), F.lit(" <mail@host.example>"))
+    h = table(spark, d, "events").where("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("file_path"), who.alias("author"), "ts", F.col("event_id").alias("change_id"))
+    a = sources.history(h, True).withColumnsRenamed({"author": "oldest", "day": "added"})
+    return a.join(sources.history(h, False).withColumnsRenamed({"author": "newest", "day": "changed"}), "file_path")
+
+
+@query("select label as id, i - 1 as dim, round(avg(v), 6) + 0 as v from (select label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i from embeddings where vec_id % 3 <> 0) group by all")
+def mean_pool(spark, d):
+    e = table(spark, d, "embeddings").withColumn("mask", (F.col("vec_id") % 3 != 0).cast("int"))
+    p = tokenizers.mean_pool(e, "label", "embedding", "mask")
+    return p.select("id", F.posexplode("pooled").alias("dim", "v")).select("id", F.col("dim").cast("long").alias("dim"), (F.round("v", 6) + 0e0).alias("v"))
+
+
+LETTERS = {t: i for i, t in enumerate(["[UNK]", "[CLS]", "[SEP]"] + [m + c for c in "abcdefghijklmnopqrstuvwxyz0123456789#" for m in ("", "##")])}
+
+
+@query("select p_partkey as id, length(replace(p_name, ' ', '')) + 2 as n, 1::int as first, 2::int as last from part")
+def wordpiece_tokens(spark, d):
+    x = tokenizers.wordpiece_tokens(table(spark, d, "part"), "p_partkey", "p_name", LETTERS)
+    return x.select("id", F.size("ids").cast("long").alias("n"), F.col("ids")[0].alias("first"), F.element_at("ids", -1).alias("last"))
+
+
+def _code(spark, d) -> DataFrame:
+    """One file of code for each part, so that parsers have whole tables to read."""
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    code = F.concat(
+        F.lit("using System;\nusing Shop.Parts;\nnamespace Shop.N"), size, F.lit("\n{\n    /// \"}\" in a comment\n    public sealed class Part"), k, F.lit(" : Base"), size,
+        F.lit("<Item>, IPart\n    {\n        public const int Size = "), size, F.lit(";\n        public string Name { get; set; } = \"{"), F.col("p_name"),
+        F.lit("\";\n        public Part"), k, F.lit("(int a) { Size = a; }\n        public override int Price"), k, F.lit("(Item x) { return x.Cost; }\n    }\n    public enum Kind { None, A"), size, F.lit(" }\n}\n"),
+    )
+    return table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), F.concat(F.lit("src/"), k, F.lit(".cs")).alias("file_path"), code.alias("content"))
+
+
+@query("""select p_partkey as file_id, 'class' as file_type, 'Shop.N' || p_size as namespace, 'Part' || p_partkey as class_name, 'public sealed' as class_modifiers, 'Base' || p_size || '<Item>' as base_class, 'IPart' as interfaces,
+'Part' || p_partkey as class_names, 'Name' as property_names, 'string Name' as properties, 'Price' || p_partkey as method_names, 'public Part' || p_partkey || '(int a)' as constructors, 'Price' || p_partkey as overridden_methods,
+'' as abstract_methods, 'Kind(A' || p_size || ')' as enum_values, 'Size' as constants, 'Base' || p_size as generic_types, 'Base' || p_size || ' IPart Item' as referenced_types, 'Shop.Parts | System' as usings from part""")
+def extract_metadata(spark, d):
+    names = "file_id file_type namespace class_name class_modifiers base_class interfaces class_names property_names properties method_names constructors overridden_methods abstract_methods enum_values constants generic_types referenced_types usings"
+    return parsed.extract_metadata(_code(spark, d)).select(names.split())
+
+
+@query("""select p_partkey as file_id, seq, chunk_type, name, class_name, start_line, end_line from (
+select p_partkey, 0 as seq, 'class' as chunk_type, 'Part' || p_partkey as name, 'Part' || p_partkey as class_name, 6 as start_line, 12 as end_line from part
+union all select p_partkey, 1, 'members', 'Part' || p_partkey || '+Price' || p_partkey, 'Part' || p_partkey, 10, 11 from part)""")
+def chunk_files(spark, d):
+    return parsed.chunk_files(_code(spark, d)).select("file_id", "seq", "chunk_type", "name", "class_name", "start_line", "end_line")
+
+
+@query("select doc_id, source from (select doc_id, source from documents where doc_id % 5 <> 0 union all select doc_id, 'new' from documents where doc_id % 5 = 0)")
+def replace_by_key(spark, d):
+    x = table(spark, d, "documents").select("doc_id", "source")
+    return store.replaced(x, x.where("doc_id % 5 = 0").withColumn("source", F.lit("new")), "doc_id")
+
+
+@query("select c.conv_id, c.turn from conversations c where exists (select 1 from documents where doc_id = c.conv_id and lang = 'en')")
+def cascade(spark, d):
+    p = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("conv_id"))
+    return store.cascaded(table(spark, d, "conversations").select("conv_id", "turn"), p, "conv_id")
+
+
+@query("select page_id, regexp_replace(case when lower(url) like 'https://%' then substring(url, 9) else url end, '^/+', '') as path from pages")
+def relative_paths(spark, d):
+    return table(spark, d, "pages").select("page_id", sources.relative(F.col("url"), "HTTPS://").alias("path"))
+
+
+@query("select event_id, case when event_type = 'click' then 'UP' else 'DOWN' end as verdict, substring(trim(coalesce(props, '')), 1, 400) as question from events where event_type in ('click', 'error')")
+def feedback(spark, d):
+    from ..api import feedback_rows
+
+    e = table(spark, d, "events").where("event_type in ('click', 'error')")
+    return feedback_rows(e.select(F.col("event_id").alias("ts"), F.col("props").alias("question"), (F.col("event_type") == "click").alias("helpful"))).select(F.col("ts").alias("event_id"), "verdict", "question")
+
+
+@query("select cast(ts as date)::varchar as day, event_type, count(*) as n from events group by all")
+def telemetry_stream_daily(spark, d):
+    """The streaming plan of daily counts, run on a table: a batch is a stream that has ended."""
+    return usage_stream.daily_usage(table(spark, d, "events"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
