@@ -32,6 +32,17 @@ def bm25(docs: DataFrame, requests: DataFrame, id_col: str, text_cols: list[str]
 
 
 def ranked(hits: DataFrame, floor: int) -> DataFrame:
-    """Hits of at least the floor with their position within the request (rank descending, id)."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("rank"), "id")
-    return hits.where(F.col("rank") >= floor).withColumn("pos", F.row_number().over(w))
+    """Hits of at least the floor with their position within the request (rank descending, id).
+
+    A request may hit a large part of all rows, so no task gets all its hits:
+    rows are numbered within one rank of a request, and the hits of better
+    ranks, at most a thousand counts for each request, come before them. The
+    hits themselves are computed once; both uses read the same exchange.
+    """
+    h = hits.where(F.col("rank") >= floor)
+    better = Window.partitionBy("query_id").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = h.groupBy("query_id", "rank").agg(F.count("*").alias("n"))
+    before = counts.select("query_id", "rank", F.coalesce(F.sum("n").over(better), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("query_id", "rank").orderBy("id"))
+    x = h.withColumn("own", own).join(F.broadcast(before), ["query_id", "rank"])
+    return x.select("query_id", "id", "rank", (F.col("before") + F.col("own")).cast("int").alias("pos"))
