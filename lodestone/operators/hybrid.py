@@ -24,7 +24,7 @@ def hybrid_search(spark: SparkSession, requests: DataFrame, files: DataFrame, ch
     caller, after the limit.
     """
     # The legs' union must not claim their common partitioning: it would put each
-    # request in one task, and legs coalesced apart cannot be paired.
+    # request in one task. See the README for the failure met with it.
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     own = chunks if chunk_type is None else chunks.where(F.col("chunk_type") == chunk_type)
     v = vector_topk(spark, own.where("embedding is not null"), requests, cfg.vector_candidates, cfg.max_distance, "chunk_id", "embedding").select("query_id", F.col("id").alias("chunk_id"), "distance", F.col("pos").alias("vpos"))
