@@ -3,14 +3,16 @@
 Numbers, names and units become typed placeholders, so a question asked again
 with other values keeps its template. Windows of template words of the
 documents are hash-joined with those of the benchmark; matched windows of a
-document and an item are aligned, and a match counts only if the slots are
-consistent: one value of the item always stands for one value of the document
-and the other way round.
+document and an item are aligned by the difference of their places, so each
+occurrence of an item is judged on its own. An occurrence counts only if its
+slots are consistent: one value of the item always stands for one value of the
+document and the other way round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,8 @@ UNITS = "mm cm m km mg g kg t ml l s sec min h hr hour hours day days week weeks
 NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 NUMBER, NAME, UNIT = 1, 2, 3
 _SLOT = K.seeded(99, 4)
+# Windows of one occurrence may be moved against each other by so many words.
+SHIFT = 3
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -114,27 +118,61 @@ def _rows(width: int, shortest: int, bits):
 _WINDOW = "hash long, id long, pos int, size int, slots array<long>"
 
 
-def _judge(x: pd.DataFrame) -> pd.DataFrame:
-    """One row for a document and an item: what of the item is covered, and whether the slots agree."""
-    covered, there, of, changed, ok = set(), set(), {}, set(), True
+Hit = tuple[int, int, int, set[tuple[int, int]]]
+
+
+def _agree(hits: list[Hit]) -> tuple[int, int, int, int, int] | None:
+    """(covered words, first word, end word, slots, changed slots) if the slots of all hits are consistent."""
+    of: dict[int, int] = {}
     back: dict[int, int] = {}
-    for pos, ipos, mine, theirs in zip(x.pos, x.ipos, x.slots, x.islots, strict=True):
-        covered.update(range(ipos, ipos + len(theirs)))
-        there.update((pos, pos + len(theirs)))
-        for a, b in zip(theirs, mine, strict=True):
-            if a:
-                ok &= of.setdefault(a, b) == b and back.setdefault(b, a) == a
-                if a != b:
-                    changed.add(a)
-    return pd.DataFrame({"doc_id": [x.id.iloc[0]], "item_id": [x.item.iloc[0]], "item_words": [x.isize.iloc[0]], "covered_words": [len(covered)], "first_word": [min(there)], "end_word": [max(there)], "n_slots": [len(of)], "n_changed": [len(changed)], "consistent": [bool(ok)]})
+    for a, b in (p for h in hits for p in h[3]):
+        if of.setdefault(a, b) != b or back.setdefault(b, a) != a:
+            return None
+    return len(_words(hits)), min(h[0] for h in hits), max(h[0] + h[2] for h in hits), len(of), sum(a != b for a, b in of.items())
+
+
+def _words(hits: list[Hit]) -> set[int]:
+    return {i for h in hits for i in range(h[1], h[1] + h[2])}
+
+
+def _occurrence(at: dict[int, list[Hit]], shift: int) -> list[Hit]:
+    """The hits at one shift, and of those up to SHIFT words beside it what covers further words of the item."""
+    hits = list(at[shift])
+    covered = _words(hits)
+    for near in (shift + sign * by for by in range(1, SHIFT + 1) for sign in (-1, 1)):
+        new = [h for h in at.get(near, ()) if not covered.issuperset(range(h[1], h[1] + h[2]))]
+        hits += new
+        covered |= _words(new)
+    return hits
+
+
+def _judge(share: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One row for a document and an item: the consistent occurrence that covers most of the item, else all hits together."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        at = defaultdict(list)
+        for pos, ipos, mine, theirs in zip(x.pos.tolist(), x.ipos.tolist(), x.slots, x.islots, strict=True):
+            # No slot in the document's window: the words themselves matched.
+            at[pos - ipos].append((pos, ipos, len(theirs), {(a, b or a) for a, b in zip(theirs.tolist(), mine.tolist(), strict=True) if a}))
+        hits = [h for hs in at.values() for h in hs]
+        least = int(x.isize.iloc[0]) * share
+        best = None
+        if len(_words(hits)) >= least:
+            found = [r for shift in sorted(at) if (r := _agree(_occurrence(at, shift))) and r[0] >= least]
+            best = max(found, key=lambda r: (r[0], -r[4], -r[1]), default=None) or _agree(hits)
+        r = best or (0, 0, 0, 0, 0)
+        return pd.DataFrame({"doc_id": [x.id.iloc[0]], "item_id": [x.item.iloc[0]], "item_words": [x.isize.iloc[0]], "covered_words": [r[0]], "first_word": [r[1]], "end_word": [r[2]], "n_slots": [r[3]], "n_changed": [r[4]], "consistent": [best is not None]})
+
+    return run
 
 
 def leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 8, share: float = 0.5) -> DataFrame:
     """Pairs (doc_id, item_id) of a document that holds an item's template with consistent slots.
 
     A window has width template words, at least half of them no slots; an item
-    of fewer words is one window. A pair is returned if its matched windows
-    cover at least share of the item's words and the slots are consistent;
+    of fewer words is one window. A pair is returned if the matched windows of
+    one occurrence, or all of them together, cover at least share of the item's
+    words with consistent slots; the row is of the occurrence that covers most.
     n_changed counts the values that differ (0: the item as it is). Rows whose
     id or text is null, texts without words and empty tables give no pairs.
     Repeated rows count once. Other columns are not read.
@@ -147,7 +185,7 @@ def leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, id_col: str =
     d = small_batches(docs).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hits = d.mapInArrow(_rows(width, shortest, bits), _WINDOW).join(b, "hash").where("size(slots) = size(islots)").select("id", "item", "pos", "ipos", "isize", "slots", "islots")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = hits.repartition(parts, "id", "item").groupBy("id", "item").applyInPandas(_judge, "doc_id long, item_id long, item_words long, covered_words long, first_word long, end_word long, n_slots long, n_changed long, consistent boolean")
+    pairs = hits.repartition(parts, "id", "item").groupBy("id", "item").applyInPandas(_judge(share), "doc_id long, item_id long, item_words long, covered_words long, first_word long, end_word long, n_slots long, n_changed long, consistent boolean")
     return pairs.where(F.col("consistent") & (F.col("covered_words") >= F.col("item_words") * F.lit(share))).drop("consistent")
 
 

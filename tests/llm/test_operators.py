@@ -117,6 +117,18 @@ def test_leaks_need_consistent_slots(spark):
     assert [r.doc_id for r in leaks(spark, table(spark, rows), bench).collect()] == [1]
 
 
+def test_leaks_judge_each_occurrence(spark):
+    item = "the red box holds 7 pens and the blue box holds 7 pens while the green box holds 9 pens in all"
+    runs = "In week 1 he ran 5 miles in the park. In week 2 he ran 7 miles in the park. In week 3 he ran 4 miles in the park."
+    bench = spark.createDataFrame([(1, item), (2, runs)], "item_id long, text string")
+    other, gap = item.replace("7", "3").replace("9", "8"), " and so on and on" * 5 + " "
+    rows = [(1, item + gap + other), (2, other + gap + other.replace("3", "4")), (3, item + gap + "the red box holds 6 pens and the" + gap), (4, "so: " + runs + " end"), (5, item.replace("while", "but while").replace("7", "3", 1)), (6, item.replace("and the", "and then the"))]
+    got = {(r.doc_id, r.item_id): (r.covered_words, r.first_word, r.n_changed) for r in leaks(spark, table(spark, rows), bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2), (6, 1)}
+    n = len(item.split())
+    assert got[1, 1] == (n, 0, 0) and got[2, 1] == (n, 0, 2) and got[3, 1] == (n, 0, 0) and got[4, 2] == (len(runs.split()), 1, 0)
+
+
 @pytest.mark.parametrize("path", VOCAB)
 @pytest.mark.parametrize("method", ["trie", "library"])
 def test_bpe_codec(spark, path, method):
