@@ -6,7 +6,9 @@ documents are hash-joined with those of the benchmark; matched windows of a
 document and an item are aligned by the difference of their places, so each
 occurrence of an item is judged on its own. An occurrence counts only if its
 slots are consistent: one value of the item always stands for one value of the
-document and the other way round.
+document and the other way round. Windows with slots are also joined on their
+words in lower case, so an exact copy is found however dense its slots are and
+whatever its capitals.
 """
 
 from __future__ import annotations
@@ -85,7 +87,10 @@ def template(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _rows(width: int, shortest: int, bits):
-    """(hash, id, pos, size, slots) for each window; bits: only those of the bitmap, and only of width shortest.. width."""
+    """(hash, id, pos, size, slots) for each window; bits: only those of the bitmap, and only of width shortest.. width.
+
+    With bits, a window joined on its words has all of them as slots, since the item's slots may lie anywhere.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if bits is None else bits.value
@@ -93,24 +98,26 @@ def _rows(width: int, shortest: int, bits):
             for row, raw, offsets in K.chunks(batch.column(1)):
                 code, kind, h, at = template(raw, offsets)
                 n = np.diff(at)
-                span, slot = K.SpanHash(code), np.zeros(len(code) + 1, np.int64)
+                span, words, slot = K.SpanHash(code), K.SpanHash(h), np.zeros(len(code) + 1, np.int64)
                 np.cumsum(kind > 0, out=slot[1:])
                 for w in range(shortest, width + 1):
                     many = np.maximum(n - w + 1, 0) if wanted is not None or w == width else (n == w).astype(np.int64)
                     of = np.repeat(np.arange(len(n)), many)
                     pos = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
                     s = at[of] + pos
-                    key = span(s, s + w).view(np.int64)
-                    keep = 2 * (slot[s + w] - slot[s]) <= w
-                    if wanted is not None:
-                        x = K.mix(key.view(U64)) % U64(BLOOM_BITS)
-                        keep &= (wanted[(x >> U64(5)).astype(np.int64)] >> (x & U64(31)).astype(np.uint32)) & 1 == 1
-                    if not keep.any():
-                        continue
-                    of, pos, s, key = of[keep], pos[keep], s[keep], key[keep]
-                    grid = s[:, None] + np.arange(w)[None, :]
-                    slots = np.where(kind[grid] > 0, h[grid], U64(0)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(row + of)), pa.array(pos.astype(np.int32)), pa.array(n[of].astype(np.int32)), K.ragged(slots.ravel(), np.full(len(s), w), pa.int64())], ["hash", "id", "pos", "size", "slots"])
+                    some = slot[s + w] - slot[s]
+                    # As templates, and those with slots as they are; without slots both keys are one.
+                    for hashes, keep, plain in ((span, 2 * some <= w, False), (words, some > 0, True)):
+                        key = hashes(s, s + w).view(np.int64)
+                        if wanted is not None:
+                            x = K.mix(key.view(U64)) % U64(BLOOM_BITS)
+                            keep = keep & ((wanted[(x >> U64(5)).astype(np.int64)] >> (x & U64(31)).astype(np.uint32)) & 1 == 1)
+                        if not keep.any():
+                            continue
+                        rows, first = of[keep], s[keep]
+                        grid = first[:, None] + np.arange(w)[None, :]
+                        slots = h[grid] if plain and wanted is not None else np.where(kind[grid] > 0, h[grid], U64(0))
+                        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), batch.column(0).take(pa.array(row + rows)), pa.array(pos[keep].astype(np.int32)), pa.array(n[rows].astype(np.int32)), K.ragged(slots.view(np.int64).ravel(), np.full(len(first), w), pa.int64())], ["hash", "id", "pos", "size", "slots"])
 
     return run
 
@@ -169,10 +176,10 @@ def _judge(share: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 8, share: float = 0.5) -> DataFrame:
     """Pairs (doc_id, item_id) of a document that holds an item's template with consistent slots.
 
-    A window has width template words, at least half of them no slots; an item
-    of fewer words is one window. A pair is returned if the matched windows of
-    one occurrence, or all of them together, cover at least share of the item's
-    words with consistent slots; the row is of the occurrence that covers most.
+    A window has width template words, at least half of them no slots, or is
+    joined on its words as they are; an item of fewer words is one window. A
+    pair is returned if the matched windows of one occurrence, or all of them
+    together, cover at least share of the item's words with consistent slots; the row is of the occurrence that covers most.
     n_changed counts the values that differ (0: the item as it is). Rows whose
     id or text is null, texts without words and empty tables give no pairs.
     Repeated rows count once. Other columns are not read.

@@ -129,6 +129,17 @@ def test_leaks_judge_each_occurrence(spark):
     assert got[1, 1] == (n, 0, 0) and got[2, 1] == (n, 0, 2) and got[3, 1] == (n, 0, 0) and got[4, 2] == (len(runs.split()), 1, 0)
 
 
+def test_leaks_with_dense_slots(spark):
+    plain = "the red box holds 7 pens and the blue box of Alice holds 7 pens in all"
+    items = ["What Is The Capital City Of France And Spain Today", "What is 12 + 34 * 56 - 7?", plain]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    copies = [f(t) for t in items for f in (str, str.upper, str.lower, str.title)]
+    rows = [(10 + k, f"so it goes: {c} and so on") for k, c in enumerate(copies)] + [(1, "What Is The Chief River Of France Or Spain Now"), (2, "what is 1 and 2 and 3"), (3, plain.upper().replace("7", "3"))]
+    got = {(r.doc_id, r.item_id): (r.covered_words, r.n_changed) for r in leaks(spark, table(spark, rows), bench).collect()}
+    assert {k: got.get(k) for k in ((10 + k, k // 4) for k in range(12))} == {(10 + k, k // 4): ((10, 0), (6, 0), (17, 0))[k // 4] for k in range(12)}
+    assert not {1, 2} & {k[0] for k in got}
+
+
 @pytest.mark.parametrize("path", VOCAB)
 @pytest.mark.parametrize("method", ["trie", "library"])
 def test_bpe_codec(spark, path, method):
