@@ -14,7 +14,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCKED = "label=block"
+# No token has this prefix.
+BLOCKED = "class=block"
 
 
 def parts(url: str) -> tuple[F.Column, F.Column]:

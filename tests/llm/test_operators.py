@@ -234,6 +234,13 @@ def test_url_filter(spark):
     assert url_filter(spark, pages, labels.limit(0), rules).count() == 91 and url_filter(spark, pages.limit(0), labels, rules).count() == 0
 
 
+def test_url_filter_host_label_block(spark):
+    pages = spark.createDataFrame([(i, f"http://block.s{i}.org/{'spam' if i % 2 else 'fine'}/{i}") for i in range(80)] + [(200, "http://bad.org/spam/9"), (201, "http://block.io/fine/9")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, None) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_filter(spark, pages, labels, []).collect()}
+    assert got == {i: "block" if i % 2 else "allow" for i in range(80)} | {200: "block", 201: "allow"}
+
+
 def test_license_scan(spark):
     t = license_scan.TEMPLATES
     filler = " ".join(f"f{i}" for i in range(50))
