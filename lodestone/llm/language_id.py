@@ -213,22 +213,22 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 96, words_per_document: int = 400, most_languages: int = 64, steps: int = 900) -> Network:
+def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 96, words_per_document: int = 400, steps: int = 900) -> Network:
     """A network fitted on a bounded sample of the documents that are not held out and have text and language.
 
-    For each of the most_languages commonest languages (ties by name) at most
-    docs_per_language documents, one from each slice of the id's hash; of each
-    at most words_per_document of its words, spread evenly. Without such
+    For each language at most docs_per_language documents, one from each slice
+    of the id's hash; of each at most words_per_document of its words, spread
+    evenly. Without such
     documents the network knows no language.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
-    common = [r.lang for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
     h = F.xxhash64("id")
-    ids = [r.i for r in d.where(F.col("lang").isin(common)).groupBy("lang", F.pmod(h, F.lit(docs_per_language)).alias("slice")).agg(F.min_by("id", h).alias("i")).select("i").collect()] if common else []
-    rows = d.where(F.col("id").isin(ids)).dropDuplicates(["id"]).collect() if ids else []
-    languages = sorted(common)
+    ids = d.groupBy("lang", F.pmod(h, F.lit(docs_per_language)).alias("slice")).agg(F.min_by("id", h).alias("id")).select("lang", "id")
+    rows = d.join(F.broadcast(ids), ["lang", "id"], "left_semi").dropDuplicates(["lang", "id"]).collect()
+    languages = sorted({r.lang for r in rows})
+    at = {x: k for k, x in enumerate(languages)}
     parts, labels = [], []
-    for r in sorted(rows, key=lambda r: r.id):
+    for r in sorted(rows, key=lambda r: (r.id, r.lang)):
         _, raw, offsets = next(K.chunks(pa.array([r.text])))
         raw = lowered(raw)
         s, e, _ = units(raw, offsets)
@@ -238,7 +238,7 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         keep = keep[np.linspace(0, len(keep) - 1, min(len(keep), words_per_document)).astype(int)]
         x, n = padded(raw, s[keep], e[keep])
         parts.append((np.pad(x, ((0, 0), (0, UNIT - x.shape[1]))), n))
-        labels += [languages.index(r.lang)] * len(keep)
+        labels += [at[r.lang]] * len(keep)
     if not parts:
         return Network([])
     x, n = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])

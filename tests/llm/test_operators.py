@@ -265,6 +265,12 @@ def test_language_id(spark):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in x)
 
 
+def test_language_id_learns_every_language(spark):
+    rows = [(k * 10 + i, f"w{k}x", f"l{k:02d}") for k in range(70) for i in range(10)]
+    net = language_id.train(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), steps=1)
+    assert net.languages == sorted({r[2] for r in rows})
+
+
 def test_span_hash_tells_spans_apart():
     rng = np.random.default_rng(0)
     raw = rng.integers(97, 100, 3000).astype(np.uint8)
