@@ -190,25 +190,40 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
 
+def _labels(net: Network, label, text: pa.Array) -> tuple[list[str], np.ndarray]:
+    pred, score = ["und"] * len(text), np.zeros(len(text))
+    for row, raw, offsets in K.chunks(text) if label else ():
+        ascii_ = np.concatenate([[0], np.cumsum(_LETTER[raw] & (raw < 128))])
+        p, n = label(raw, offsets)
+        for i in range(len(p)):
+            if n[i] and (ascii_[offsets[i + 1]] > ascii_[offsets[i]] or has_letter(text[row + i].as_py())):
+                k = int(p[i].argmax())
+                pred[row + i], score[row + i] = net.languages[k], min(1.0, float(p[i, k]))
+    return pred, score
+
+
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
         label = Labeller(net) if net.languages else None
         for batch in batches:
-            text = batch.column(1)
-            pred, score = ["und"] * len(batch), np.zeros(len(batch))
-            for row, raw, offsets in K.chunks(text) if label else ():
-                ascii_ = np.concatenate([[0], np.cumsum(_LETTER[raw] & (raw < 128))])
-                p, n = label(raw, offsets)
-                for i in range(len(p)):
-                    if n[i] and (ascii_[offsets[i + 1]] > ascii_[offsets[i]] or has_letter(text[row + i].as_py())):
-                        k = int(p[i].argmax())
-                        pred[row + i], score[row + i] = net.languages[k], min(1.0, float(p[i, k]))
+            pred, score = _labels(net, label, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score)], ["id", "lang_pred", "score"])
 
     return run
 
 
+def _recognised(model, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = model.value
+        label = Labeller(net) if net.languages else None
+        for batch in batches:
+            pred, _ = _labels(net, label, batch.column(at))
+            yield batch.filter(pa.array([x != "und" for x in pred], pa.bool_()))
+
+    return run
+
+
 def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -253,3 +268,8 @@ def identify(spark: SparkSession, docs: DataFrame, net: Network, id_col: str = "
     repeated rows keep their rows; other columns are not read.
     """
     return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_predict(spark.sparkContext.broadcast(net)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def recognised(spark: SparkSession, docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose own text has a language other than ``und``, with all columns; ids play no part."""
+    return small_batches(docs).mapInArrow(_recognised(spark.sparkContext.broadcast(net), docs.columns.index(text_col)), docs.schema)
