@@ -14,9 +14,9 @@ That bound holds always and is kept with miss = 0. Below a threshold of about
 0.9 its choices hold few features each, and unlike sets meet. With miss > 0 a
 choice is a set of parts that holds about FEATURES features, and there are as
 many choices as leave a pair without an equal one with at most that
-probability: parts are dealt by hashes, so k differences spare a choice of the
-share q of the parts with probability (1 - q)^k. Choices without features are
-left out.
+probability. Choices of several parts overlap, so their number is taken from a
+simulation of pairs; choices of one part each never do, and the product of
+their probabilities is a bound. Choices without features are left out.
 
 Sets that are equal are one class and enter the join once. Classes that share
 a signature are not expanded into pairs: each signature only ties its members
@@ -46,6 +46,8 @@ SIGNED = "id long, n long, h1 long, sigs array<long>"
 BLOCK_DOCS, BLOCK_FEATURES = 128, 100_000
 BLOOM_BITS, SHARED_BITS = 1 << 23, 1 << 25
 PARTS, FEATURES = 64, 10
+# Pairs simulated for a band, the share of miss that may be left there, and the largest set whose bands are drawn before the job.
+TRIALS, MARGIN, DRAWN = 200_000, 0.7, 2_000
 FIRST = 8
 
 
@@ -73,6 +75,23 @@ class Bands:
         k = 2 * (self.low[tag + 1] - 1) * (self.den - self.num) // (self.den + self.num)
         return ((k + 2) // 2, 3) if 1 <= k <= self.two_level else (k + 1, 1)
 
+    def _drawn(self, rng: np.random.Generator, parts: int, each: int, k: int, common: int) -> np.ndarray:
+        """Choices of parts, as many as leave at most miss of TRIALS simulated pairs of k differences and common features."""
+        differ, filled = np.zeros((TRIALS, parts), bool), np.zeros((TRIALS, parts), bool)
+        for lo in range(0, TRIALS, 5000):
+            at = np.arange(lo, min(lo + 5000, TRIALS))[:, None]
+            differ[at, rng.integers(0, parts, (len(at), k), dtype=np.int32)] = True
+            filled[at, rng.integers(0, parts, (len(at), common), dtype=np.int32)] = True
+        chosen: list[np.ndarray] = []
+        while len(differ) > MARGIN * self.miss * TRIALS:
+            if len(chosen) % (parts // each) == 0:
+                # Choices cut from one order of the parts don't overlap.
+                order = rng.permutation(parts)[: parts // each * each].reshape(-1, each)
+            chosen.append(order[len(chosen) % (parts // each)])
+            missed = differ[:, chosen[-1]].any(axis=1) | ~filled[:, chosen[-1]].any(axis=1)
+            differ, filled = differ[missed], filled[missed]
+        return np.array(chosen)
+
     def choices(self, tag: int) -> tuple[int, np.ndarray]:
         """For miss > 0: the number of parts, and the parts of each choice (choices, parts in each)."""
         if tag not in self.cuts:
@@ -81,15 +100,19 @@ class Bands:
             k = 2 * most * (self.den - self.num) // (self.den + self.num)
             parts = max(PARTS, round(most / FEATURES))
             each = max(1, min(PARTS // 2, round(parts * FEATURES / most)))
-            clean = (1 - each / parts) ** k * (1 - (1 - each / parts) ** self.low[tag])
-            many = math.ceil(-math.log(self.miss) / clean) if k else 1
             rng = np.random.default_rng(tag)
+            if each == 1 and k:
+                # Distinct parts are spared less than independently of each other, so the product is a bound.
+                spared = (1 - 1 / parts) ** k * (1 - (1 - 1 / parts) ** self.low[tag])
+                many = math.ceil(math.log(self.miss) / math.log(1 - spared))
+                if many > parts:
+                    parts, each = 2 * parts, 2
             if k == 0:
                 chosen = np.arange(parts)[None, :]
             elif each == 1:
                 chosen = rng.permutation(parts)[:many, None]
             else:
-                chosen = np.argsort(rng.random((many, parts)), axis=1)[:, :each]
+                chosen = self._drawn(rng, parts, each, k, max(1, self.low[tag] - k // 2))
             self.cuts[tag] = parts, chosen
         return self.cuts[tag]
 
@@ -132,8 +155,12 @@ def class_key(s: np.ndarray) -> np.uint64:
 
 
 def _sign(n: int, num: int, den: int, miss: float, growth: float = 0.0, two_level: int = 24):
+    bands = Bands(num, den, miss, growth, two_level)
+    for tag in bands.tags(DRAWN) if miss else ():
+        for t in range(tag + 1):
+            bands.choices(t)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den, miss, growth, two_level)
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 b = batch.slice(lo, 2000)

@@ -79,6 +79,22 @@ def test_signatures_never_miss():
                 assert np.intersect1d(signatures(a, bands), signatures(b, bands)).size
 
 
+@pytest.mark.parametrize("size", [11, 157, 308, 600, 840])
+def test_choices_miss_no_more_than_asked(size):
+    bands, rng, n = Bands(80, 100, 1e-4), np.random.default_rng(5), 100_000
+    tag = bands.tags(size)[0]
+    parts, chosen = bands.choices(tag)
+    most = bands.low[tag + 1] - 1
+    k = 2 * most * 20 // 180
+    differ, filled = np.zeros((n, parts), bool), np.zeros((n, parts), bool)
+    for mark, m in ((differ, k), (filled, most - k // 2)):
+        mark[np.arange(n)[:, None], rng.integers(0, parts, (n, m))] = True
+    for c in chosen:
+        missed = differ[:, c].any(axis=1) | ~filled[:, c].any(axis=1)
+        differ, filled = differ[missed], filled[missed]
+    assert len(differ) <= 2e-4 * n
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7), (None, 3)]
