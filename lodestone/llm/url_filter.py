@@ -1,9 +1,10 @@
 """URL filtering by rules and, where none fits, by association rules mined from labels.
 
-URLs become sets of tokens. FP-growth mines the token combinations of labelled
-URLs; rules that end in the blocking label and reach the confidence are kept,
-each filed under the rarest token of its condition. A URL looks up its tokens
-and is blocked if the whole condition of a rule found there holds.
+URLs become sets of tokens, and tokens that always occur together one item.
+FP-growth mines the item combinations of labelled URLs; rules that end in the
+blocking label and reach the confidence are kept, each filed under the rarest
+item of its condition. A URL looks up its items and is blocked if the whole
+condition of a rule found there holds.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from __future__ import annotations
 import string
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import Scratch
+
 # No token has this prefix.
 BLOCKED = "class=block"
 
@@ -42,28 +45,65 @@ def tokens(url: str) -> F.Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """labelled (tokens, blocked) -> rules (anchor, condition, confidence, support)."""
-    items = F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(labelled.select(items.alias("items")))
+def lower_confidence(hits: F.Column, n: F.Column, z: float) -> F.Column:
+    """The lower end of the score interval of a share of hits in n."""
+    p = hits / n
+    return (p + z * z / (2 * n) - z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
+
+
+def token_classes(known: DataFrame, min_support: float) -> DataFrame:
+    """(token, item): the tokens that reach the support, filed by the set of pages they occur on.
+
+    Tokens of one set of pages (told apart by its size and a sum of hashes)
+    are one item, named by the first of them: they occur in the same rules, so
+    mining each subset of them would only repeat rules. At most 1 / min_support
+    tokens for each token of a page are left, whatever the number of pages.
+    """
+    pages = known.count()
+    t = known.select("page", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("page").cast("decimal(38,0)")).alias("sum"), F.sum(F.xxhash64("page", F.lit(1)).cast("decimal(38,0)")).alias("sum2"))
+    t = t.where(F.col("n") >= min_support * pages)
+    return t.withColumn("item", F.min("token").over(Window.partitionBy("n", "sum", "sum2"))).select("token", "item")
+
+
+def mine(known: DataFrame, min_support: float, min_confidence: float, z: float) -> tuple[DataFrame, DataFrame]:
+    """known (page, tokens, blocked) -> (classes of tokens, rules (anchor, condition, confidence, support)).
+
+    A condition is a set of items; it holds where each has a token in the URL,
+    as one of the plain rules that it stands for then does. A rule counts if
+    the lower end of its confidence's interval, z standard deviations wide,
+    reaches min_confidence, so a few labels teach nothing.
+    """
+    classes = token_classes(known, min_support).persist()
+    each = known.select("page", "blocked", F.explode("tokens").alias("token")).join(classes, "token")
+    items = each.groupBy("page", "blocked").agg(F.collect_set("item").alias("found"))
+    items = items.select(F.when(F.col("blocked"), F.array_append("found", F.lit(BLOCKED))).otherwise(F.col("found")).alias("items"))
+    pages = known.count()
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCKED))).select("antecedent", "confidence", "support")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    each = rules.withColumn("token", F.explode("antecedent")).join(single, "token")
-    return each.groupBy("antecedent", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor")).withColumnRenamed("antecedent", "condition")
+    # FP-growth takes shares of the pages with an item; pages are what counts here.
+    in_items = items.count()
+    n = F.round(F.col("support") * in_items / F.col("confidence"))
+    rules = rules.where(lower_confidence(F.col("confidence") * n, n, z) >= min_confidence).withColumn("support", F.col("support") * in_items / pages)
+    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
+    by_item = rules.withColumn("item", F.explode("antecedent")).join(single, "item")
+    return classes, by_item.groupBy("antecedent", "confidence", "support").agg(F.min_by("item", F.struct("freq", "item")).alias("anchor")).withColumnRenamed("antecedent", "condition")
 
 
-def url_filter(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", min_support: float = 0.002, min_confidence: float = 0.6, min_pages: int = 20) -> DataFrame:
+def url_filter(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", min_support: float = 0.002, min_confidence: float = 0.6, z: float = 3.0) -> DataFrame:
     """One row per row of pages: (id_col, host, path, rule, verdict).
 
     rules: (verdict, host, path); a rule fits its host and all subdomains if
     the path starts with the rule's; the longest wins, of equal ones the first
     by name. They are a list of the caller's and part of the plan. Without a
     fitting rule the verdict is block if a mined rule matches, else allow; rule
-    is then null. A mined condition needs min_support of the labelled pages, and
-    min_pages of them at least, so a few labels teach nothing. labels (doc_id, quality, toxic) label the pages of the same
-    id: blocked if toxic = 1 or quality = 0; null marks count as not. A null
-    URL, or one without "://", has empty parts, fits no rule and is allowed.
-    Repeated rows stay; empty tables and labels give no mined rules.
+    is then null. A mined condition needs min_support of the labelled pages and
+    min_confidence at the lower end of its interval (see mine). labels
+    (doc_id, quality, toxic) label the pages of the same id: blocked if
+    toxic = 1 or quality = 0; null marks count as not. A null URL, or one
+    without "://", has empty parts, fits no rule and is allowed. Rows with a
+    null id are judged like others and teach nothing. Repeated rows stay, and
+    count as other pages in the mining; other columns are not read; empty
+    tables and labels give no mined rules.
     """
     host, path = parts("u")
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u")).withColumn("host", host).withColumn("path", path)
@@ -74,13 +114,10 @@ def url_filter(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules:
     p = p.withColumn("rule", fit_rule).withColumn("by_rule", fit_verdict)
 
     marked = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.coalesce(F.bool_or((F.col("toxic") == 1) | (F.col("quality") == 0)), F.lit(False)).alias("blocked"))
-    known = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u")).where(F.col("u").contains("://")).join(marked, "id").select(tokens("u").alias("tokens"), "blocked")
-    open_ = p.where("by_rule is null and host <> ''").select("u").distinct().withColumn("tokens", tokens("u"))
-    pages_known = known.count()
-    if pages_known >= min_pages:
-        mined = mine(known, max(min_support, min_pages / pages_known), min_confidence)
-        hit = open_.withColumn("anchor", F.explode("tokens")).join(mined, "anchor").where(F.size(F.array_except("condition", "tokens")) == 0).select("u").distinct().withColumn("hit", F.lit(True))
-        p = p.join(hit, "u", "left")
-    else:
-        p = p.withColumn("hit", F.lit(None).cast("boolean"))
-    return p.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("hit") & F.col("by_rule").isNull(), "block").otherwise("allow")).alias("verdict"))
+    known = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u")).where(F.col("u").contains("://")).join(marked, "id")
+    known = Scratch(spark, "url-filter").keep(known.select(F.monotonically_increasing_id().alias("page"), tokens("u").alias("tokens"), "blocked"), "known")
+    classes, mined = mine(known, min_support, min_confidence, z)
+    open_ = p.where("by_rule is null and host <> ''").select("u").distinct().select("u", F.explode(tokens("u")).alias("token"))
+    found = open_.join(classes, "token").groupBy("u").agg(F.collect_set("item").alias("found"))
+    hit = found.withColumn("anchor", F.explode("found")).join(mined, "anchor").where(F.size(F.array_except("condition", "found")) == 0).select("u").distinct().withColumn("hit", F.lit(True))
+    return p.join(hit, "u", "left").select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("hit") & F.col("by_rule").isNull(), "block").otherwise("allow")).alias("verdict"))
