@@ -11,6 +11,7 @@ hashed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,9 +68,13 @@ class Bands:
                 m *= 2
             self.classes.setdefault(m, ([], 0))[0].append(i)
         for m, (own, _) in self.classes.items():
-            j = min(LEAST * len(self.sets[i]) / (2 * m - SHINGLE + 1 + (1 - LEAST) * len(self.sets[i])) for i in own)
-            rows = max([r for r in (1, 2, 3, 4) if 1 - (1 - j**r) ** (HASHES // r) >= guarantee], default=1)
-            self.classes[m] = own, rows
+            # A match holds at least these shingles of the template, and the window may be full of others.
+            shared = {i: math.ceil(LEAST * len(self.sets[i]) - 1e-9) for i in own}
+            j = min(shared[i] / (2 * m - SHINGLE + 1 + len(self.sets[i]) - shared[i]) for i in own)
+            able = [r for r in (1, 2, 3, 4) if 1 - (1 - j**r) ** (HASHES // r) >= guarantee]
+            if not able:
+                raise ValueError(f"{HASHES} hashes can't retrieve templates of up to {m} words with probability {guarantee}")
+            self.classes[m] = own, max(able)
         self.all = np.unique(np.concatenate(self.sets))
         self.sketch = [self.minhash(s) for s in self.sets]
 
