@@ -64,8 +64,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards, dictionary, width = token_files.write_token_files(spark, _table(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.json"), end_id=2)
-    out = token_files.read_token_files(spark, shards, dictionary, width)
+    out = token_files.read_token_files(spark, token_files.write_token_files(spark, _table(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.json"), end_id=2))
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -14,14 +14,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set (tests)."""
+    """The cluster's shared folder; one of our own only where none is set and driver and executors are one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def _file(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file from the driver, in any file system that Spark knows."""
+    fs, p = _file(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def read_file(spark: SparkSession, path: str) -> bytes:
+    row = spark.read.format("binaryFile").load(path).first()
+    return bytes(row.content) if row else b""  # the reader has no row for an empty file
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """df, with the session's Arrow batches held to so many rows: texts can be long, and each task holds two batches."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -51,6 +74,5 @@ class Scratch:
         for t in tables:
             path = getattr(t, "_lodestone_path", None)
             if path:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                fs, p = _file(self.spark, path)
+                fs.delete(p, True)

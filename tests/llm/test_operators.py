@@ -175,8 +175,8 @@ def test_bpe_codec(spark, path, method):
 
 def test_token_files(spark):
     rows = awkward(n=30) + [(None, "no id")]
-    shards, dictionary, width = token_files.write_token_files(spark, table(spark, rows), VOCAB[1], end_id=2)
-    got = token_files.read_token_files(spark, shards, dictionary, width).collect()
+    root = token_files.write_token_files(spark, table(spark, rows), VOCAB[1], end_id=2)
+    got = token_files.read_token_files(spark, root).collect()
     lib, at = bpe.library(VOCAB[1]), 0
     texts = collections.defaultdict(list)
     for i, t in rows:
@@ -188,8 +188,25 @@ def test_token_files(spark):
         at += r.n_tokens
     named = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert named[0] is None and named[1:] == sorted(named[1:])
-    empty, d, w = token_files.write_token_files(spark, table(spark, []), VOCAB[1])
-    assert token_files.read_token_files(spark, empty, d, w).count() == 0
+    assert [sorted(x.tolist()) for x in token_files.read_document(spark, root, 908)] == [sorted(x) for x in texts[908]]
+    assert token_files.read_document(spark, root, 900)[0].tolist() == [2] and token_files.read_document(spark, root, 5_000) == []
+    empty = token_files.write_token_files(spark, table(spark, []), VOCAB[1])
+    assert token_files.read_token_files(spark, empty).count() == 0
+
+
+def test_token_files_in_a_named_folder(spark, tmp_path):
+    """A later session has the folder alone; every byte value comes back from the files."""
+    rows = [(i, " ".join(chr(32 + (i * j) % 900) for j in range(300))) for i in range(60)]
+    root = token_files.write_token_files(spark, table(spark, rows), VOCAB[1], root=str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").glob("*.dict"))) == 1 and list((tmp_path / "t" / "shards").glob("part-*"))
+    lib = bpe.library(VOCAB[1])
+    for i in (0, 17, 59):
+        assert token_files.read_document(spark, root, i)[0].tolist() == lib.encode(rows[i][1], add_special_tokens=False).ids
+    d = next((tmp_path / "t").glob("*.dict"))
+    (tmp_path / "t" / f".{d.name}.crc").unlink(missing_ok=True)
+    d.write_bytes(d.read_bytes() + b"x")
+    with pytest.raises(ValueError):
+        token_files.read_token_files(spark, root)
 
 
 def test_shard_checks_its_dictionary():
