@@ -37,19 +37,18 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"u": nodes[keep], "v": root[keep]})
 
 
-def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """edges (a, b) of longs -> (node, root): root is the smallest node reachable; isolated nodes are absent.
 
     Large-star and small-star steps (Kiveris et al. 2014) as partial
     aggregates and equi-joins, so the neighbours of one busy node never have
-    to meet in a task. Null ends and self loops are ignored.
+    to meet in a task. Rounds go on until no edge changes. Null ends and self
+    loops are ignored.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     cur = scratch.keep(e.mapInPandas(_contract, "u long, v long").distinct(), "edges")
     state = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
+    while state[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

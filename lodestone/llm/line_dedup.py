@@ -53,8 +53,16 @@ def _windows(size: int):
     return run
 
 
+def info_name(columns: list[str]) -> str:
+    """The name of the operator's own column: ``line_dedup``, with as many underscores after it as keep it from a column of the input."""
+    name, taken = "line_dedup", {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """All rows and columns of docs, with text_col cleaned, and struct column ``line_dedup`` (n_lines, n_removed).
+    """All rows and columns of docs, with text_col cleaned, and a struct column (n_lines, n_removed) named by info_name.
 
     Lines end at a newline and are compared without ASCII white space at their
     ends; blank lines belong to no window and stay. A document of fewer than
@@ -81,4 +89,4 @@ def line_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     kept = F.expr(f"array_join(filter(split({text}, '\\n'), (x, i) -> not array_contains({gone}, i)), '\\n')")
     info = F.struct(F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
     cleaned = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)
-    return both.select(*[cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "line_dedup"], info.alias("line_dedup"))
+    return both.select(*[cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], info.alias(info_name(docs.columns)))
