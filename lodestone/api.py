@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,10 +12,13 @@ from .config import Settings
 from .functions import text as T
 from .models.tokenizers import instructed
 from .operators import hybrid, lexical, parsed, rerank, usage
+from .operators.fulltext import TextIndex
+from .operators.vectors import VectorIndex
 from .sources.files import capped, file_id
 from .sources.store import Store
 
 Embedder = Callable[[Column], Column]
+Model = Callable[[Column, Column], Column]
 
 
 class Engine:
@@ -23,8 +27,9 @@ class Engine:
     Without an embedder, searches are lexical and marked as degraded.
     """
 
-    def __init__(self, spark: SparkSession, files: DataFrame, chunks: DataFrame, embedder: Embedder | None = None, scorer: rerank.Scorer | None = None, cfg: Settings = Settings(), hosted: bool = False):
+    def __init__(self, spark: SparkSession, files: DataFrame, chunks: DataFrame, embedder: Embedder | None = None, scorer: rerank.Scorer | None = None, cfg: Settings = Settings(), hosted: bool = False, file_index: TextIndex | None = None, chunk_index: TextIndex | None = None, vector_index: VectorIndex | None = None, model: Model | None = None):
         self.spark, self.files, self.chunks, self.embedder, self.scorer, self.cfg, self.hosted = spark, files, chunks, embedder, scorer, cfg, hosted
+        self.file_index, self.chunk_index, self.vector_index, self.model = file_index, chunk_index, vector_index, model
 
     @classmethod
     def open(cls, spark: SparkSession, store: Store, embedder: Embedder | None = None, model: str = "", **kw) -> "Engine":
@@ -32,7 +37,9 @@ class Engine:
         made = store.manifest().get("model", "")
         if embedder is not None and made != model:
             raise ValueError(f"the index holds vectors of {made!r}, not of {model!r}")
-        return cls(spark, store.read("files"), store.read("chunks"), embedder, **kw)
+        at = store.indexed()
+        indexes = {"file_index": TextIndex.open(spark, f"{at}/files"), "chunk_index": TextIndex.open(spark, f"{at}/chunks"), "vector_index": VectorIndex.open(spark, f"{at}/vectors")} if at else {}
+        return cls(spark, store.read("files"), store.read("chunks"), embedder, **indexes | kw)
 
     def embed(self, df: DataFrame, kind: str = "query", text: str = "text", out: str = "vector") -> DataFrame:
         if self.embedder is None:
@@ -43,7 +50,8 @@ class Engine:
         """Ranked, reranked and gated rows with their payload; module_filter is taken and has no effect."""
         n = n or self.cfg.n_results
         pool = max(n, self.cfg.rerank_pool) if self.scorer else n
-        found = hybrid.hybrid_search(self.spark, self.embed(queries), self.files, self.chunks, pool, self.cfg)
+        asked = self.embed(queries)
+        found = hybrid.hybrid_search(self.spark, asked, self.files, self.chunks, pool, self.cfg, None, self.file_index, self.chunk_index, self.vector_index)
         payload = self.chunks.select("chunk_id", "file_path", F.col("class_name"), "chunk_type", F.col("name").alias("chunk_name"), "content", "start_line", "end_line", "namespace", "signature")
         rows = found.join(payload, "chunk_id").join(queries.select("query_id", F.col("text").alias("question")), "query_id")
         lexical_hit = rerank.lexical_support(F.col("match_source"), F.col("chunk_fts_rrf").cast("string"), F.col("file_fts_rrf").cast("string"))
@@ -62,7 +70,7 @@ class Engine:
         return rerank.shaped(x, rerank.SEARCH_KEYS, self.cfg).withColumn("degraded", F.lit(False))
 
     def _lexical(self, question: str, n: int) -> DataFrame:
-        top = lexical.fallback(self.spark, self.files, question, n).select("file_path", "pos")
+        top = lexical.fallback(self.spark, self.files, question, n, self.file_index).select("file_path", "pos")
         return top.join(self._named(), "file_path")
 
     def _named(self) -> DataFrame:
@@ -75,9 +83,19 @@ class Engine:
         return rerank.shaped(x, rerank.FALLBACK_KEYS, self.cfg, keep_first=False)
 
     def chat(self, queries: DataFrame, n: int | None = None) -> DataFrame:
-        """The prompt table: context in rank order, sources as first seen, and whether there is anything to answer from."""
+        """One row for each query: context in rank order, sources as first seen, whether there is anything to answer from, and the answer.
+
+        The model maps (question, context) to an answer and is asked only where
+        something was retrieved; else the fixed answer is given. Without a model
+        other answers are null.
+        """
         x = self.search(queries, n or self.cfg.chat_results)
-        return usage.chat_context(x.select("query_id", "pos", F.col("id").alias("source"), F.col("document").alias("content")))
+        found = usage.chat_context(x.select("query_id", "pos", F.col("id").alias("source"), F.col("document").alias("content")))
+        all_ = queries.select("query_id", F.col("text").alias("question")).join(found, "query_id", "left")
+        all_ = all_.withColumns({"context": F.coalesce("context", F.lit("")), "sources": F.coalesce("sources", F.lit("")), "grounded": F.coalesce("grounded", F.lit(False))})
+        own = F.lit(None).cast("string") if self.model is None else F.when(F.col("grounded"), self.model(F.col("question"), F.col("context")))
+        listed = T.source_list(F.split("sources", r"\|"))
+        return all_.withColumn("answer", F.coalesce(T.answer_guard(F.col("context")), F.concat(own, listed)))
 
     def systems(self) -> DataFrame:
         return usage.facets(self.files, "file_type")
@@ -85,8 +103,10 @@ class Engine:
     def collections(self, name: str = "files") -> DataFrame:
         return self.files.agg(F.count("*").alias("count")).select(F.lit(name).alias("name"), "count")
 
-    def health(self, has_index: bool = True) -> DataFrame:
-        return usage.index_health(self.chunks, has_index).crossJoin(self.files.agg(F.count("*").alias("files")))
+    def health(self, has_index: bool | None = None) -> DataFrame:
+        """has_index: whether there is a vector index; left out, whether this engine has one."""
+        known = self.vector_index is not None if has_index is None else has_index
+        return usage.index_health(self.chunks, known).crossJoin(self.files.agg(F.count("*").alias("files")))
 
 
 def feedback_rows(rows: DataFrame) -> DataFrame:
@@ -100,12 +120,14 @@ def visit_rows(requests: DataFrame) -> DataFrame:
     return requests.where(page).select("ts", T.client_ip(F.col("address")).alias("client_ip"))
 
 
-def build_index(spark: SparkSession, listed: DataFrame, store: Store, embedder: Embedder, model: str, cfg: Settings = Settings(), local_model: bool = True, hosted: bool = False, on_cap: Callable[[int, int], None] | None = None) -> bool:
-    """listed (file_path, content) -> a new live version, if at least promotion_ratio of the files were read.
+def build_index(spark: SparkSession, listed: DataFrame, store: Store, embedder: Embedder, model: str, cfg: Settings = Settings(), local_model: bool = True, hosted: bool = False, on_cap: Callable[[int, int], None] | None = None, dimension: int | None = None) -> bool:
+    """listed (file_path, content) -> a new live version, if at least promotion_ratio of the files were read and chunked.
 
-    Files that could not be read have null content and are not staged. A
-    repeated chunk key goes to the table "duplicates" instead of losing the
-    rest of its file. Nothing changes for readers until the manifest is
+    Files that could not be read have null content and are not staged; a file
+    that is not blank must have a chunk to count. A repeated chunk key goes to
+    the table "duplicates" instead of losing the rest of its file. Vectors of a
+    length other than dimension fail the build. Full-text and vector indexes
+    are part of the version. Nothing changes for readers until the manifest is
     switched; a failed build leaves the live version as it was.
     """
     total = listed.count()
@@ -113,12 +135,22 @@ def build_index(spark: SparkSession, listed: DataFrame, store: Store, embedder:
         on_cap(total, cfg.hosted_file_cap)
     files = capped(listed, cfg.hosted_file_cap, local_model).withColumn("file_id", file_id(F.col("file_path"))).where("content is not null")
     version = store.stage({"files": files.join(parsed.extract_metadata(files), "file_id")})
-    if not store.complete(version, "files", min(total, cfg.hosted_file_cap) if not local_model else total, cfg.promotion_ratio):
+    expected = min(total, cfg.hosted_file_cap) if not local_model else total
+    if not store.complete(version, "files", expected, cfg.promotion_ratio):
         return False
-    staged = spark.read.parquet(f"{store.root}/{version}/files")
-    kept, again = parsed.unique_chunks(parsed.chunk_files(staged, cfg.chunk_chars))
+    live = f"{store.root}/{version}"
+    staged = spark.read.parquet(f"{live}/files")
+    kept, again = parsed.unique_chunks(parsed.chunk_files(staged, cfg))
     vector = embedder(instructed(F.col("content"), "passage", hosted))
-    kept = kept.withColumn("chunk_id", F.xxhash64("chunk_key")).withColumn("embedding", vector)
+    kept = kept.withColumn("chunk_id", F.xxhash64("chunk_key")).withColumn("embedding", vector if dimension is None else T.of_dimension(vector, dimension))
     store.add(version, {"chunks": kept, "duplicates": again})
-    store.promote(version, model=model, files=str(total))
+    chunks = spark.read.parquet(f"{live}/chunks")
+    chunked = chunks.select("file_id").distinct().count() + staged.where(~F.col("content").rlike(r"\S")).count()
+    if chunked < int(staged.count() * cfg.promotion_ratio):
+        return False
+    at = store.indexes(version)
+    TextIndex.over(staged, "file_id", hybrid.file_text(staged)).write(f"{at}/files")
+    TextIndex.over(chunks, "chunk_id", hybrid.chunk_text(chunks)).write(f"{at}/chunks")
+    VectorIndex.build(spark, chunks, f"{at}/vectors", "chunk_id", "embedding")
+    store.promote(version, model=model, files=str(total), last_run=str(int(time.time())))
     return True

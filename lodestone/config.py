@@ -14,6 +14,7 @@ class Settings:
     file_weight: int = 30
     rrf_k: int = 60
     vector_candidates: int = 200
+    vector_probes: int = 8
     max_distance: float = 1.0
     min_fts_rank: int = 10
     rerank_pool: int = 30

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 STOP_WORDS = "what where when who how would should could create make build properties does have the for a an in on to is are show me find get exist exists see can using".split()
 SQL_KEYWORDS = ["SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "JOIN", "WHERE", "GROUP BY", "ORDER BY"]
 GUARD = "warmup keepalive"
+WORD = r"[\p{L}0-9]+"
+NO_GROUNDS = "Nothing retrieved from the indexed codebase answers this question, so no answer is given."
 
 
 def tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}0-9]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def safe_text(c: Column) -> Column:
@@ -93,6 +95,47 @@ def question(c: Column) -> Column:
     return F.lower(F.trim(c))
 
 
+def answer_guard(context: Column) -> Column:
+    """The fixed answer where nothing was retrieved, else null: the question then goes to a language model with its context."""
+    return F.when(~grounded(context), F.lit(NO_GROUNDS))
+
+
+def source_list(paths: Column) -> Column:
+    """The block of sources below an answer; empty where no path is left."""
+    kept = F.filter(F.coalesce(paths, F.array().cast("array<string>")), lambda p: F.coalesce(p != "", F.lit(False)))
+    return F.when(F.size(kept) == 0, "").otherwise(F.concat(F.lit("\n\nSources:"), F.array_join(F.transform(kept, lambda p: F.concat(F.lit("\n- "), p)), "")))
+
+
+def elapsed(seconds: Column) -> Column:
+    """37s, 2m 18s, 1h 04m 12s."""
+    s = F.floor(seconds).cast("long")
+    h, m, r = (s / 3600).cast("long"), (s % 3600 / 60).cast("long"), s % 60
+    return F.when(s >= 3600, F.format_string("%dh %02dm %02ds", h, m, r)).when(s >= 60, F.format_string("%dm %ds", m, r)).otherwise(F.format_string("%ds", s))
+
+
+def json_number(doc: Column, path: str) -> Column:
+    """A whole number at a JSON path; null where it is missing or none."""
+    return F.get_json_object(doc, path).try_cast("int")
+
+
+def vector_json(v: Column) -> Column:
+    return F.to_json(v)
+
+
+def vector_of(body: Column, dimension: int) -> Column:
+    """The vector in a service's answer, [..] or [[..]], or {"vector": ..}; anything else, or another length, fails the query."""
+    flat = lambda t: F.from_json(t, "array<float>")
+    inner = F.coalesce(F.get_json_object(body, "$.vector"), body)
+    v = F.when(F.regexp_like(inner, F.lit(r"^\s*\[\s*\[")), F.get(F.from_json(inner, "array<array<float>>"), F.lit(0))).otherwise(flat(inner))
+    return of_dimension(F.when(v.isNull(), F.raise_error(F.concat(F.lit("no vector in the answer: "), F.coalesce(F.substring(body, 1, 200), F.lit("null"))))).otherwise(v), dimension)
+
+
+def of_dimension(v: Column, dimension: int) -> Column:
+    """The vector itself; one of another length fails the query, since every distance to it would be nonsense. Null stays null."""
+    wrong = F.raise_error(F.format_string(f"a vector has %d components, and the index is set to {dimension}: set the dimension of the model and build the index anew", F.size(v)))
+    return F.when(v.isNull() | (F.size(v) == dimension), v).otherwise(wrong)
+
+
 def grounded(c: Column) -> Column:
     return F.coalesce(c.rlike(r"\S"), F.lit(False))
 

@@ -1,33 +1,84 @@
-"""Full-text ranking: Okapi BM25 over the terms of a batch of requests."""
+"""Full-text ranking: a stored index of postings, and Okapi BM25 over the terms of a batch of requests."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 K1, B, HALF = 1.2, 0.75, 10.0
+BUCKETS = 64
+# More terms than these are joined instead of listed in the scan's filter.
+MOST_TERMS = 1000
+# A bucket's postings are spread over so many tasks, so a word that is everywhere is no single task's work.
+SPREAD = 8
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """postings (bucket, term, id, tf, dl), terms (bucket, term, df) and stats (n, mean) of a table's text columns."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+    @classmethod
+    def over(cls, docs: DataFrame, id_col: str, text_cols: list[str]) -> "TextIndex":
+        """The index as plans over docs; nothing is stored. One row of docs for each id."""
+        d = docs.select(F.col(id_col).alias("id"), T.tokens(F.concat_ws(" ", *text_cols)).alias("ts")).select("id", "ts", F.size("ts").alias("dl"))
+        each = d.select("id", "dl", F.explode("ts").alias("term"))
+        postings = each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select(bucket(F.col("term")).alias("bucket"), "term", "id", "tf", "dl")
+        stats = docs.select(F.regexp_count(F.lower(F.concat_ws(" ", *text_cols)), F.lit(T.WORD)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+        return cls(postings, cls._counted(postings), stats)
+
+    @staticmethod
+    def _counted(postings: DataFrame) -> DataFrame:
+        return postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))
+
+    def write(self, root: str) -> None:
+        """Three tables below root; postings and terms lie in folders by the hash of the term, sorted by term, so a search reads few of them."""
+        spark = self.postings.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        salt = F.pmod(F.xxhash64("id"), F.lit(SPREAD))
+        dealt = self.postings.repartition(max(parts, BUCKETS), "bucket", salt).sortWithinPartitions("bucket", "term", "id")
+        dealt.write.partitionBy("bucket").parquet(f"{root}/postings")
+        stored = spark.read.parquet(f"{root}/postings")
+        self._counted(stored).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/terms")
+        self.stats.coalesce(1).write.parquet(f"{root}/stats")
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> "TextIndex":
+        return cls(*(spark.read.parquet(f"{root}/{t}") for t in ("postings", "terms", "stats")))
+
+    def matching(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(postings, terms) of the given terms: by filters that reach the scan, or by a join where they are too many to list."""
+        asked = terms.select("term").distinct().select("term", bucket(F.col("term")).alias("bucket"))
+        named = asked.limit(MOST_TERMS + 1).collect()
+        if len(named) > MOST_TERMS:
+            return self.postings.join(asked, ["bucket", "term"]), self.terms.join(asked, ["bucket", "term"])
+        keep = F.col("bucket").isin(sorted({r.bucket for r in named})) & F.col("term").isin(sorted(r.term for r in named)) if named else F.lit(False)
+        return self.postings.where(keep), self.terms.where(keep)
 
 
-def bm25(docs: DataFrame, requests: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
+def bm25(index: TextIndex, requests: DataFrame) -> DataFrame:
     """(query_id, id, rank): rank = round(1000 s / (s + HALF)) of the BM25 sum s, 0 to 1000.
 
-    One row of docs for each id. Frequencies are counted within the row, for
-    the requests' terms only, so no shuffle moves words; the requests' terms
-    and their document frequencies are sides of the batch's size.
+    requests (query_id, text), a caller's batch. Only postings of its terms
+    are read; they are summed by request and id.
     """
-    terms = requests.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    d = docs.select(F.col(id_col).alias("id"), T.tokens(F.concat_ws(" ", *text_cols)).alias("ts"))
-    stats = d.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("mean"))
-    wanted = terms.agg(F.collect_set("term").alias("wanted"))
-    found = F.transform(F.array_intersect("wanted", "ts"), lambda w: F.struct(w.alias("term"), F.size(F.filter("ts", lambda t: t == w)).alias("tf")))
-    tf = d.crossJoin(F.broadcast(wanted)).select("id", F.size("ts").alias("dl"), F.explode(found).alias("x")).select("id", "dl", "x.*")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    s = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    terms = requests.select("query_id", F.explode(F.array_distinct(T.tokens(T.safe_text(F.col("text"))))).alias("term"))
+    postings, df = index.matching(terms)
+    s = postings.join(df.select("term", "df"), "term").join(terms, "term").crossJoin(F.broadcast(index.stats))
     idf = F.log(1e0 + (F.col("n") - F.col("df") + 0.5e0) / (F.col("df") + 0.5e0))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    scored = s.select("id", "term", part.alias("part")).join(F.broadcast(terms), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("s"))
+    scored = s.select("query_id", "id", part.alias("part")).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("s"))
     return scored.select("query_id", "id", F.round(F.lit(1000e0) * F.col("s") / (F.col("s") + HALF)).cast("int").alias("rank"))
 
 
@@ -44,5 +95,5 @@ def ranked(hits: DataFrame, floor: int) -> DataFrame:
     counts = h.groupBy("query_id", "rank").agg(F.count("*").alias("n"))
     before = counts.select("query_id", "rank", F.coalesce(F.sum("n").over(better), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("query_id", "rank").orderBy("id"))
-    x = h.withColumn("own", own).join(F.broadcast(before), ["query_id", "rank"])
+    x = h.withColumn("own", own).join(before, ["query_id", "rank"])
     return x.select("query_id", "id", "rank", (F.col("before") + F.col("own")).cast("int").alias("pos"))

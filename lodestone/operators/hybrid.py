@@ -6,35 +6,54 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from .fulltext import bm25, ranked
-from .vectors import vector_topk
+from .fulltext import TextIndex, bm25, ranked
+from .vectors import VectorIndex, vector_topk
 
 
 def rrf(weight: int, pos: str, k: int) -> Column:
     return F.coalesce(F.lit(float(weight)) * (1e0 / (k + F.col(pos))), F.lit(0e0))
 
 
-def hybrid_search(spark: SparkSession, requests: DataFrame, files: DataFrame, chunks: DataFrame, top_n: int = 20, cfg: Settings = Settings(), chunk_type: str | None = None) -> DataFrame:
+# A chunk's columns that full text reads; of a file it reads all that hold text.
+CHUNK_TEXT = "content name chunk_key class_name namespace signature parent_context".split()
+
+
+def chunk_text(chunks: DataFrame) -> list[str]:
+    return [c for c in CHUNK_TEXT if c in chunks.columns]
+
+
+def file_text(files: DataFrame) -> list[str]:
+    return [f.name for f in files.schema if f.dataType.typeName() == "string"]
+
+
+def hybrid_search(spark: SparkSession, requests: DataFrame, files: DataFrame, chunks: DataFrame, top_n: int = 20, cfg: Settings = Settings(), chunk_type: str | None = None, file_index: TextIndex | None = None, chunk_index: TextIndex | None = None, vector_index: VectorIndex | None = None) -> DataFrame:
     """One row per hit of each request: ids, score, the three terms, distance, source and position.
 
-    requests (query_id, text, vector); files (file_id, content); chunks
-    (chunk_id, file_id, chunk_type, content, embedding). Every chunk of a
-    matched file is a candidate; chunk_type filters the vector and the chunk
-    leg only; a blank text leaves out both text legs. Payload is joined by the
-    caller, after the limit.
+    requests (query_id, text, vector); files (file_id and text columns); chunks
+    (chunk_id, file_id, chunk_type, embedding and text columns). Every chunk of
+    a matched file is a candidate; chunk_type filters the vector and the chunk
+    leg only, after ranks are given; a blank text leaves out both text legs.
+    Stored indexes are read where they are given; else the tables are. Payload
+    is joined by the caller, after the limit.
     """
-    # The legs' union must not claim their common partitioning: it would put each
-    # request in one task. See the README for the failure met with it.
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     own = chunks if chunk_type is None else chunks.where(F.col("chunk_type") == chunk_type)
-    v = vector_topk(spark, own.where("embedding is not null"), requests, cfg.vector_candidates, cfg.max_distance, "chunk_id", "embedding").select("query_id", F.col("id").alias("chunk_id"), "distance", F.col("pos").alias("vpos"))
+    if vector_index is None or chunk_type is not None:
+        v = vector_topk(spark, own.where("embedding is not null"), requests, cfg.vector_candidates, cfg.max_distance, "chunk_id", "embedding")
+    else:
+        v = vector_index.search(spark, requests, cfg.vector_candidates, cfg.max_distance, cfg.vector_probes)
+    v = v.select("query_id", F.col("id").alias("chunk_id"), "distance", F.col("pos").alias("vpos"))
     asked = requests.where(F.col("text").rlike(r"\S"))
-    c = ranked(bm25(own, asked, "chunk_id", ["content"]), cfg.min_fts_rank).select("query_id", F.col("id").alias("chunk_id"), F.col("pos").alias("cpos"))
-    f = ranked(bm25(files, asked, "file_id", ["content"]), cfg.min_fts_rank).select("query_id", F.col("id").alias("file_id"), F.col("pos").alias("fpos"))
+    hits = bm25(chunk_index or TextIndex.over(chunks, "chunk_id", chunk_text(chunks)), asked)
+    if chunk_type is not None:
+        hits = hits.join(own.select(F.col("chunk_id").alias("id")), "id", "left_semi").select("query_id", "id", "rank")
+    c = ranked(hits, cfg.min_fts_rank).select("query_id", F.col("id").alias("chunk_id"), F.col("pos").alias("cpos"))
+    f = ranked(bm25(file_index or TextIndex.over(files, "file_id", file_text(files)), asked), cfg.min_fts_rank).select("query_id", F.col("id").alias("file_id"), F.col("pos").alias("fpos"))
     ids = chunks.select("chunk_id", "file_id")
     by_file = f.join(ids, "file_id").select("query_id", "chunk_id", "fpos")
     legs = v.select("query_id", "chunk_id", "distance", "vpos", F.lit(None).cast("int").alias("cpos"), F.lit(None).cast("int").alias("fpos"))
     legs = legs.unionByName(c, allowMissingColumns=True).unionByName(by_file, allowMissingColumns=True)
+    # Dealt by both keys: the legs' union must not claim a partitioning by request, which would put each in one task.
+    legs = legs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query_id", "chunk_id")
     one = legs.groupBy("query_id", "chunk_id").agg(*[F.max(x).alias(x) for x in ("distance", "vpos", "cpos", "fpos")])
     s = one.withColumn("vector_rrf", rrf(cfg.vector_weight, "vpos", cfg.rrf_k)).withColumn("chunk_fts_rrf", rrf(cfg.chunk_weight, "cpos", cfg.rrf_k)).withColumn("file_fts_rrf", rrf(cfg.file_weight, "fpos", cfg.rrf_k))
     text = (F.col("chunk_fts_rrf") > 0) | (F.col("file_fts_rrf") > 0)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
-from .fulltext import bm25
+from .fulltext import TextIndex, bm25
+from .hybrid import file_text
 
 
 def literal_like(x: str) -> str:
@@ -35,12 +36,19 @@ def identifier_search(files: DataFrame, terms: list[str], columns: list[str], na
 def fuzzy_nearest(terms: DataFrame, names: DataFrame, most: int = 3, min_length: int = 8) -> DataFrame:
     """(term, name, edits) of the nearest name within most edits; ties by name.
 
-    An edit changes a length by at most one, so terms meet only names whose
-    length differs by at most most: an equi-join on lengths, not a cross join.
+    A name of at least min_length letters cut in most + 1 pieces keeps one
+    piece whole through most edits, moved by at most most places. So terms
+    meet names by (length, piece's number, piece): an equi-join with few rows
+    a key, not one by lengths alone.
     """
     n = names.where(F.length("name") >= min_length).distinct().withColumn("len", F.length("name"))
-    t = terms.distinct().withColumn("len", F.explode(F.sequence(F.length("term") - most, F.length("term") + most)))
-    pairs = t.join(n, "len").withColumn("edits", F.levenshtein("term", "name", most)).where("edits >= 0")
+    number = F.sequence(F.lit(0), F.lit(most))
+    start = lambda i: F.floor(i * F.col("len") / (most + 1)).cast("int")
+    n = n.withColumn("i", F.explode(number)).withColumn("piece", F.substring(F.col("name"), start(F.col("i")) + 1, start(F.col("i") + 1) - start(F.col("i"))))
+    t = terms.where(F.col("term").isNotNull()).distinct().withColumn("len", F.explode(F.sequence(F.length("term") - most, F.length("term") + most))).where(F.col("len") >= min_length)
+    t = t.withColumn("i", F.explode(number)).withColumn("at", F.explode(F.sequence(start(F.col("i")) - most, start(F.col("i")) + most))).where("at >= 0")
+    t = t.withColumn("piece", F.substring(F.col("term"), F.col("at") + 1, start(F.col("i") + 1) - start(F.col("i"))))
+    pairs = t.join(n, ["len", "i", "piece"]).select("term", "name").distinct().withColumn("edits", F.levenshtein("term", "name", most)).where("edits >= 0")
     return pairs.groupBy("term").agg(F.min(F.struct("edits", "name")).alias("x")).select("term", F.col("x.name").alias("name"), F.col("x.edits").alias("edits"))
 
 
@@ -69,6 +77,22 @@ def blend(fts: DataFrame, by_name: DataFrame, question: str, n: int) -> DataFram
     return top.withColumn("pos", F.row_number().over(w))
 
 
+def path_merge(fts: DataFrame, vectors: DataFrame, question: str, n: int) -> DataFrame:
+    """(file_path, rank, vector_score, score): both sides by path, best first.
+
+    fts (file_path, class_name, rank), vectors (file_path, vector_score), one
+    row for each path. A hit of both gets its text score and 100 times the
+    vector's; a vector's hit alone half of that and rank 999.
+    """
+    named = F.when(name_match(F.lit(question), F.col("file_path"), F.col("class_name")), 200e0).otherwise(0e0)
+    text = fts.select("file_path", "rank", (fts_score(F.col("rank")) + named).alias("text_score"))
+    both = text.join(vectors.select("file_path", "vector_score"), "file_path", "full")
+    v = F.coalesce("vector_score", F.lit(0e0))
+    score = F.when(F.col("text_score").isNull(), 50 * v).otherwise(F.col("text_score") + 100 * v)
+    rank = F.when(F.col("text_score").isNull(), 999).otherwise(F.col("rank"))
+    return both.select("file_path", rank.alias("rank"), v.alias("vector_score"), score.alias("score")).orderBy(F.desc("score"), "file_path").limit(n)
+
+
 def asked_field(spark: SparkSession, question: str) -> str:
     """The field a question about filled or populated fields names; empty where it asks something else."""
     q = question.lower()
@@ -84,7 +108,7 @@ def corrected(terms: list[str], names: DataFrame, spark: SparkSession, cfg: Sett
     return [found.get(t, t) for t in terms]
 
 
-def fallback_search(spark: SparkSession, files: DataFrame, question: str, n: int) -> DataFrame:
+def fallback_search(spark: SparkSession, files: DataFrame, question: str, n: int, index: TextIndex | None = None) -> DataFrame:
     """(file_path, class_name, rank) without vectors; rank is null for pattern hits.
 
     files (file_id, file_path, class_name, base_class, method_names,
@@ -108,13 +132,13 @@ def fallback_search(spark: SparkSession, files: DataFrame, question: str, n: int
             hit = identifier_search(files, corrected(list(words.names), names, spark), columns, "class_name", n)
         return pattern(hit)
     asked = spark.createDataFrame([(0, " ".join(words.words))], "query_id long, text string")
-    ranks = bm25(files, asked, "file_id", ["content"]).where("rank > 0")
+    ranks = bm25(index or TextIndex.over(files, "file_id", file_text(files)), asked).where("rank > 0")
     top = ranks.orderBy(F.desc("rank"), "id").limit(n)
     return top.join(files.select(F.col("file_id").alias("id"), "file_path", "class_name"), "id").select("file_path", "class_name", "rank")
 
 
-def fallback(spark: SparkSession, files: DataFrame, question: str, n: int = 5) -> DataFrame:
+def fallback(spark: SparkSession, files: DataFrame, question: str, n: int = 5, index: TextIndex | None = None) -> DataFrame:
     """The blended fallback: over-fetched hits, files named like the question, name boosts, the best n."""
-    hits = fallback_search(spark, files, question, max(4 * n, 20))
+    hits = fallback_search(spark, files, question, max(4 * n, 20), index)
     named = files.limit(0) if len(question.strip()) < 2 else filename_search(files, question.strip(), n)
     return blend(hits, named.select("file_path", "class_name", F.lit(None).cast("int").alias("rank")), question, n)

@@ -13,27 +13,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import text as T
 from ..parsing import chunker, metadata
 
 CHUNKS = "file_id long, file_path string, seq int, chunk_type string, name string, content string, start_line int, end_line int, signature string, namespace string, class_name string, parent_context string"
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for x in batches:
-        for i, path, content in zip(x.file_id, x.file_path, x.content, strict=True):
-            rows = chunker.chunk(path or "", content)
-            if rows:
-                out = pd.DataFrame(rows)[chunker.FIELDS]
-                out.insert(0, "file_path", path)
-                out.insert(0, "file_id", i)
-                yield out
-
-
-def chunk_files(files: DataFrame, most_chars: int = 5000) -> DataFrame:
-    """files (file_id, file_path, content) -> chunks with their key, cut to most_chars. Blank files have none."""
-    out = files.select(F.col("file_id").cast("long"), "file_path", "content").mapInPandas(_chunks, CHUNKS)
-    return out.withColumn("content", F.substring("content", 1, most_chars)).withColumn("chunk_key", chunk_key())
+def _chunks(least: int, most: int, ceiling: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for i, path, content in zip(x.file_id, x.file_path, x.content, strict=True):
+                rows = chunker.chunk(path or "", content, least, most, ceiling)
+                if rows:
+                    out = pd.DataFrame(rows)[chunker.FIELDS]
+                    out.insert(0, "file_path", path)
+                    out.insert(0, "file_id", i)
+                    yield out
+
+    return run
+
+
+def chunk_files(files: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """files (file_id, file_path, content) -> chunks with their key, sized by the settings. Blank files have none."""
+    out = files.select(F.col("file_id").cast("long"), "file_path", "content").mapInPandas(_chunks(cfg.min_chunk_tokens, cfg.max_chunk_tokens, cfg.overlap_ceiling), CHUNKS)
+    return out.withColumn("content", F.substring("content", 1, cfg.chunk_chars)).withColumn("chunk_key", chunk_key())
 
 
 def chunk_key() -> Column:

@@ -40,6 +40,24 @@ def usage_rows(events: DataFrame, question: Column, kind: Column, duration: Colu
     return events.select("event_id", "ts", kind.alias("event_type"), q.alias("question"), whole.alias("duration_ms")).where(F.lower(F.trim("question")) != T.GUARD)
 
 
+def top_queries(cache: DataFrame, query: str = "query", n: int = 10) -> DataFrame:
+    """The n queries asked most often, of equal ones the first by value."""
+    return cache.groupBy(query).agg(F.count("*").alias("n")).orderBy(F.desc("n"), query).limit(n)
+
+
+def feedback_line() -> Column:
+    """One log line for a row (ts, question, answer, helpful): time, rating, question and answer, each on one line."""
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
+    rating = F.when(F.col("helpful"), "UP").otherwise("DOWN")
+    return F.concat_ws("|", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), rating, F.concat(F.lit("Q:"), flat("question")), F.concat(F.lit("A:"), flat("answer")))
+
+
+def observed_top(scores: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, observed_top): the best score that belongs to a row of the query; null where none does."""
+    s = rows.select("query_id", "position").join(scores, ["query_id", "position"], "left")
+    return s.groupBy("query_id").agg(F.max("rerank_score").alias("observed_top"))
+
+
 def chat_context(hits: DataFrame) -> DataFrame:
     """hits (query_id, pos, source, content) -> (query_id, context, sources, grounded): contents in rank order, sources as first seen."""
     x = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "source", "content"))).alias("h"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import urllib.error
 import urllib.request
@@ -10,6 +11,8 @@ from collections.abc import Callable
 # Fixed values.
 ATTEMPTS, LONGEST = 5, 30.0
 LISTING_ATTEMPTS, LISTING_STEP = 4, 2.0
+WARM_ATTEMPTS, WARM_STEP, WARM_LONGEST = 30, 2.0, 10.0
+WAKING = (409, 429, 500, 502, 503, 504)
 
 
 def transient(status: int) -> bool:
@@ -36,6 +39,29 @@ def get(url: str, headers: dict[str, str] | None = None, opener: Callable = urll
     raise AssertionError("unreachable")
 
 
+def warm_post(url: str, payload: dict, headers: dict[str, str] | None = None, opener: Callable = urllib.request.urlopen, sleep: Callable[[float], None] = time.sleep) -> str:
+    """The answer of a service that may have to wake up; other statuses than those of waking fail at once."""
+    body = json.dumps(payload).encode()
+    for attempt in range(1, WARM_ATTEMPTS + 1):
+        try:
+            with opener(urllib.request.Request(url, body, {"Content-Type": "application/json"} | (headers or {})), timeout=300) as r:
+                return r.read().decode("utf-8", "replace")
+        except urllib.error.HTTPError as e:
+            if attempt == WARM_ATTEMPTS or e.code not in WAKING:
+                raise
+            sleep(min(WARM_LONGEST, WARM_STEP * attempt))
+    raise AssertionError("unreachable")
+
+
+def default_branch(body: str) -> str:
+    """The branch that a repository's description names, else "main"."""
+    try:
+        found = json.loads(body).get("default_branch")
+    except (ValueError, AttributeError):
+        found = None
+    return found if isinstance(found, str) and found.strip() else "main"
+
+
 def until_listed(read: Callable[[], list], sleep: Callable[[float], None] = time.sleep) -> list:
     """A listing that is empty is read again, four times in all, with growing pauses."""
     found: list = []

@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a new one only where none is set and all run on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="lodestone-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 class Store:
     """Tables below a folder; ``manifest`` names the live version, so a switch is one atomic rename."""
 
@@ -50,6 +63,16 @@ class Store:
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.manifest()['version']}/{table}")
 
+    def indexes(self, version: str) -> str:
+        """Where a version's search indexes lie, beside its tables."""
+        return f"{self.root}/{version}.indexes"
+
+    def indexed(self) -> str | None:
+        """The live version's indexes, or None where it has none."""
+        fs, path = self._fs()
+        at = self.indexes(self.manifest()["version"])
+        return at if fs.exists(path(at)) else None
+
     def exists(self, table: str) -> bool:
         fs, path = self._fs()
         return fs.exists(path(f"{self.root}/manifest.json")) and fs.exists(path(f"{self.root}/{self.manifest()['version']}/{table}"))
