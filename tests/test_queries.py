@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lodestone.plans import catalog
@@ -21,7 +22,7 @@ def con():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted([tuple(None if x is None or x != x else str(x) for x in r) for r in df.itertuples(index=False)], key=str)
+    return sorted([tuple(None if pd.isna(x) is True else str(x) for x in r) for r in df.itertuples(index=False)], key=str)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
