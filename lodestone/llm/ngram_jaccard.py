@@ -240,7 +240,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 def _compare(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in K.runs(batches, ["cluster", "bi", "bj"]):
-            side, node = table["side"].to_numpy(), table["h1"].to_numpy()
+            side, node = table["side"].to_numpy(), table["id"].to_numpy()
             lists = table["features"].combine_chunks() if isinstance(table["features"], pa.ChunkedArray) else table["features"]
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -275,9 +275,9 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     fewer than n words is one shingle; a text without words, or null, has an
     empty set, links with nothing and is its own component. Rows with a null
     id keep their n_shingles, get a null component_id and link with nothing.
-    Repeated rows stay repeated; rows that share an id are one node. Other
-    columns of docs are not read. An empty table gives an empty result.
-    Shingles and sets are told apart by 64-bit hashes.
+    Repeated rows stay repeated; rows that share an id are one node, whatever
+    their texts. Other columns of docs are not read. An empty table gives an
+    empty result. Shingles and sets are told apart by 64-bit hashes.
     """
     scratch = Scratch(spark, "ngram-jaccard")
     source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -305,14 +305,16 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     sets = source.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)).alias("at")).mapInArrow(_features(n, wanted), "id long, h1 long, features array<long>")
     here = sets.join(placed.withColumnRenamed("rep", "id"), ["id", "h1"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = here.select("cluster", "h1", "features", "block", other).select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("int").alias("side"), "h1", "features")
+    dealt = here.select("cluster", "id", "features", "block", other).select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "features")
     key = ["cluster", "bi", "bj"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_compare(num, den), "a long, b long")
-    root = components(scratch, links)
-
-    named = full.select("id", "n", "h1").join(classes.select("h1", "rep"), "h1").join(root, F.col("h1") == root.node, "left").select("id", "n", "rep", F.coalesce("root", "h1").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").select("id", "n", "component_id")
+    # The texts of one id are one node: each of their classes is tied to the id.
+    several = full.groupBy("id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("id")
+    same = full.join(several, "id").select("id", "h1").distinct().join(classes.select("h1", "rep"), "h1").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    # A class goes by its smallest id, so the root of a component is its smallest id too.
+    root = components(scratch, links.unionByName(same))
+    named = classes.select("h1", "rep").join(root, F.col("rep") == root.node, "left").select("h1", F.coalesce("root", "rep").alias("component_id"))
+    named = full.select("id", "n", "h1").join(named, "h1").select("id", "n", "component_id")
     alone = signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     return named.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
