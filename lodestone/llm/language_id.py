@@ -35,13 +35,20 @@ def lowered(raw: np.ndarray) -> np.ndarray:
 
 
 def units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, long ones in pieces of UNIT bytes, and their number before each row."""
+    """Starts and ends of the words, long ones in pieces of whole characters of at most UNIT bytes, and their number before each row."""
     s, e, at = K.spans(~K.SPACE[raw], offsets)
-    n = (e - s + UNIT - 1) // UNIT
+    step = UNIT - 3
+    n = np.where(e - s <= UNIT, 1, (e - s + step - 1) // step)
     if len(n) and n.max() > 1:
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        s, e = np.repeat(s, n) + within * UNIT, np.minimum(np.repeat(s, n) + (within + 1) * UNIT, np.repeat(e, n))
-        at = np.concatenate([[0], np.cumsum(n)])[at]
+        word = np.repeat(np.arange(len(n)), n)
+        begin = s[word] + within * step
+        for _ in range(3):  # back to where the character begins
+            begin -= (within > 0) & (raw[begin] & 0xC0 == 0x80)
+        end = np.append(begin[1:], 0)
+        last = within == n[word] - 1
+        end[last] = e
+        s, e, at = begin, end, np.concatenate([[0], np.cumsum(n)])[at]
     return s, e, at
 
 
@@ -111,7 +118,8 @@ class Network:
         g = {"V": np.tensordot(both, dy, ([0, 1], [0, 1])), "o": dy.sum((0, 1))}
         dboth = dy @ p["V"].T
         for k, d in enumerate("fb"):
-            gw, gu, gb, gc = (np.zeros_like(p[f"{q}{d}"]) for q in "WUbc")
+            t_ = x.shape[1]
+            das, drs, hs = (np.empty((t_, len(x), w), np.float32) for w in (3 * h_, 3 * h_, h_))
             dh, u = np.zeros((len(x), h_), np.float32), p[f"U{d}"]
             for t, h, z, r, rn, nn, m in reversed(kept[d]):
                 dh = dh + dboth[t, :, k * h_ : (k + 1) * h_]
@@ -120,12 +128,16 @@ class Network:
                 dz = dnew * (h - nn) * z * (1 - z)
                 drn = dn * r
                 dr = dn * rn * r * (1 - r)
-                da, dr_all = np.concatenate([dz, dr, dn], 1), np.concatenate([dz, dr, drn], 1)
-                np.add.at(gw, x[:, t], da)
-                gb += da.sum(0)
-                gc += drn.sum(0)
-                gu += h.T @ dr_all
-                dh = dh * (1 - m) + dnew * z + dr_all @ u.T
+                das[t], drs[t], hs[t] = np.concatenate([dz, dr, dn], 1), np.concatenate([dz, dr, drn], 1), h
+                dh = dh * (1 - m) + dnew * z + drs[t] @ u.T
+            da, dr_all = das.reshape(-1, 3 * h_), drs.reshape(-1, 3 * h_)
+            gu, gb, gc = hs.reshape(-1, h_).T @ dr_all, da.sum(0), dr_all[:, 2 * h_ :].sum(0)
+            # One sum for each byte that occurs.
+            order = np.argsort(x.T.ravel(), kind="stable")
+            own = x.T.ravel()[order]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            gw = np.zeros_like(p[f"W{d}"])
+            gw[own[first]] = np.add.reduceat(da[order], first, axis=0)
             g |= {f"W{d}": gw, f"U{d}": gu, f"b{d}": gb, f"c{d}": gc}
         return float(loss), g
 
@@ -228,36 +240,47 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _examples(words_per_document: int):
+    """(lang, x, n): of each document at most so many words with letters, spread evenly, padded to UNIT bytes, and their lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, raw, offsets in K.chunks(batch.column(1), 1):
+                raw = lowered(raw)
+                s, e, _ = units(raw, offsets)
+                letters = np.concatenate([[0], np.cumsum(_LETTER[raw])])
+                keep = np.flatnonzero(letters[e] > letters[s])
+                if not len(keep):
+                    continue
+                keep = keep[np.linspace(0, len(keep) - 1, min(len(keep), words_per_document)).astype(int)]
+                x, n = padded(raw, s[keep], e[keep])
+                x = np.pad(x, ((0, 0), (0, UNIT - x.shape[1]))).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([x.tobytes()], pa.binary()), pa.array([n.astype(np.uint8).tobytes()], pa.binary())], ["lang", "x", "n"])
+
+    return run
+
+
 def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 96, words_per_document: int = 400, steps: int = 900) -> Network:
     """A network fitted on a bounded sample of the documents that are not held out and have text and language.
 
     For each language at most docs_per_language documents, one from each slice
     of the id's hash; of each at most words_per_document of its words, spread
-    evenly. Without such
-    documents the network knows no language.
+    evenly; of rows that share an id and a language, one chosen by its text's
+    hash. Only these words, of at most UNIT bytes each, reach the driver.
+    Without such documents the network knows no language.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
     h = F.xxhash64("id")
-    ids = d.groupBy("lang", F.pmod(h, F.lit(docs_per_language)).alias("slice")).agg(F.min_by("id", h).alias("id")).select("lang", "id")
-    rows = d.join(F.broadcast(ids), ["lang", "id"], "left_semi").dropDuplicates(["lang", "id"]).collect()
-    languages = sorted({r.lang for r in rows})
-    at = {x: k for k, x in enumerate(languages)}
-    parts, labels = [], []
-    for r in sorted(rows, key=lambda r: (r.id, r.lang)):
-        _, raw, offsets = next(K.chunks(pa.array([r.text])))
-        raw = lowered(raw)
-        s, e, _ = units(raw, offsets)
-        keep = np.flatnonzero([_LETTER[raw[a:b]].any() for a, b in zip(s, e, strict=True)]) if len(s) else []
-        if not len(keep):
-            continue
-        keep = keep[np.linspace(0, len(keep) - 1, min(len(keep), words_per_document)).astype(int)]
-        x, n = padded(raw, s[keep], e[keep])
-        parts.append((np.pad(x, ((0, 0), (0, UNIT - x.shape[1]))), n))
-        labels += [at[r.lang]] * len(keep)
-    if not parts:
+    ids = d.groupBy("lang", F.pmod(h, F.lit(docs_per_language)).alias("slice")).agg(F.min_by("id", F.struct(h, "id")).alias("id")).select("lang", "id")
+    one = d.join(F.broadcast(ids), ["lang", "id"], "left_semi").groupBy("lang", "id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = sorted((r.lang, bytes(r.x), bytes(r.n)) for r in one.select("lang", "text").mapInArrow(_examples(words_per_document), "lang string, x binary, n binary").collect())
+    if not rows:
         return Network([])
-    x, n = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
-    return Network(languages).fit(x, n, np.array(labels), steps)
+    languages = sorted({r[0] for r in rows})
+    at = {x: k for k, x in enumerate(languages)}
+    n = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).astype(np.int64)
+    x = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(n), UNIT)
+    return Network(languages).fit(x, n, np.repeat([at[r[0]] for r in rows], [len(r[2]) for r in rows]), steps)
 
 
 def identify(spark: SparkSession, docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
