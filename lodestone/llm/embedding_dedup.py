@@ -35,7 +35,7 @@ from . import kernels as K
 from .graph import components, local_roots
 from .storage import Scratch
 
-BLOCK, OCCUPANCY = 1024, 512
+BLOCK, OCCUPANCY = 384, 256
 E0 = 4.0
 # A code has at least so many signs.
 SIGNS = 256
