@@ -19,6 +19,8 @@ from .storage import Scratch
 
 # No token has this prefix.
 BLOCKED = "class=block"
+# Classes of tokens and rules are broadcast up to this number, and joined as Spark sees fit beyond it.
+BROADCAST_ROWS = 100_000
 
 
 def parts(url: str) -> tuple[F.Column, F.Column]:
@@ -65,7 +67,12 @@ def token_classes(known: DataFrame, min_support: float) -> DataFrame:
     return t.withColumn("item", F.min("token").over(Window.partitionBy("n", "sum", "sum2"))).select("token", "item")
 
 
-def mine(known: DataFrame, min_support: float, min_confidence: float, z: float) -> tuple[DataFrame, DataFrame]:
+def _side(df: DataFrame) -> DataFrame:
+    """A counted table as the broadcast side of a join, where it is small; else left to the planner."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def mine(scratch: Scratch, known: DataFrame, min_support: float, min_confidence: float, z: float) -> tuple[DataFrame, DataFrame]:
     """known (page, tokens, blocked) -> (classes of tokens, rules (anchor, condition, confidence, support)).
 
     A condition is a set of items; it holds where each has a token in the URL,
@@ -73,9 +80,9 @@ def mine(known: DataFrame, min_support: float, min_confidence: float, z: float)
     the lower end of its confidence's interval, z standard deviations wide,
     reaches min_confidence, so a few labels teach nothing.
     """
-    classes = token_classes(known, min_support).persist()
+    classes = _side(scratch.keep(token_classes(known, min_support), "classes"))
     each = known.select("page", "blocked", F.explode("tokens").alias("token")).join(classes, "token")
-    items = each.groupBy("page", "blocked").agg(F.collect_set("item").alias("found"))
+    items = scratch.keep(each.groupBy("page", "blocked").agg(F.collect_set("item").alias("found")), "items")
     items = items.select(F.when(F.col("blocked"), F.array_append("found", F.lit(BLOCKED))).otherwise(F.col("found")).alias("items"))
     pages = known.count()
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
@@ -86,7 +93,8 @@ def mine(known: DataFrame, min_support: float, min_confidence: float, z: float)
     rules = rules.where(lower_confidence(F.col("confidence") * n, n, z) >= min_confidence).withColumn("support", F.col("support") * in_items / pages)
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
     by_item = rules.withColumn("item", F.explode("antecedent")).join(single, "item")
-    return classes, by_item.groupBy("antecedent", "confidence", "support").agg(F.min_by("item", F.struct("freq", "item")).alias("anchor")).withColumnRenamed("antecedent", "condition")
+    rules = by_item.groupBy("antecedent", "confidence", "support").agg(F.min_by("item", F.struct("freq", "item")).alias("anchor")).withColumnRenamed("antecedent", "condition")
+    return classes, _side(scratch.keep(rules, "rules"))
 
 
 def url_filter(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", min_support: float = 0.002, min_confidence: float = 0.6, z: float = 3.0) -> DataFrame:
@@ -115,8 +123,9 @@ def url_filter(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules:
 
     marked = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.coalesce(F.bool_or((F.col("toxic") == 1) | (F.col("quality") == 0)), F.lit(False)).alias("blocked"))
     known = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u")).where(F.col("u").contains("://")).join(marked, "id")
-    known = Scratch(spark, "url-filter").keep(known.select(F.monotonically_increasing_id().alias("page"), tokens("u").alias("tokens"), "blocked"), "known")
-    classes, mined = mine(known, min_support, min_confidence, z)
+    scratch = Scratch(spark, "url-filter")
+    known = scratch.keep(known.select(F.monotonically_increasing_id().alias("page"), tokens("u").alias("tokens"), "blocked"), "known")
+    classes, mined = mine(scratch, known, min_support, min_confidence, z)
     open_ = p.where("by_rule is null and host <> ''").select("u").distinct().select("u", F.explode(tokens("u")).alias("token"))
     found = open_.join(classes, "token").groupBy("u").agg(F.collect_set("item").alias("found"))
     hit = found.withColumn("anchor", F.explode("found")).join(mined, "anchor").where(F.size(F.array_except("condition", "found")) == 0).select("u").distinct().withColumn("hit", F.lit(True))

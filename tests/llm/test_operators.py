@@ -1,23 +1,27 @@
 """Each operator against brute force, a library, or an exact round trip, on small and awkward tables."""
 
 import collections
+import glob
 import hashlib
 import itertools
+import math
+import os
 import random
 import re
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, kernels, language_id, license_scan, token_counts, token_files
+from lodestone.llm import bpe, kernels, language_id, license_scan, registry, token_counts, token_files
 from lodestone.llm.bpe_codec import bpe_codec
 from lodestone.llm.decontaminate import leaks
-from lodestone.llm.embedding_dedup import embedding_dedup
+from lodestone.llm.embedding_dedup import Coder, embedding_dedup
 from lodestone.llm.graph import components
-from lodestone.llm.line_dedup import line_dedup
+from lodestone.llm.line_dedup import info_name, line_dedup
 from lodestone.llm.ngram_jaccard import Bands, ngram_jaccard, signatures
 from lodestone.llm.storage import Scratch
 from lodestone.llm.url_filter import url_filter
@@ -68,6 +72,20 @@ def test_ngram_jaccard_empty_and_null_ids(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == [("5", 2, "5"), ("None", 2, "None")]
 
 
+def test_ngram_jaccard_rows_of_one_id_are_one_node(spark):
+    rows = [(3, "a b c d"), (7, "a b c d"), (7, "w x y z q"), (9, "w x y z q"), (9, None), (11, "n o p"), (11, "n o p")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard(spark, table(spark, rows)).collect())
+    assert [(i, n, c) for i, n, c in got if n] == [(3, 2, 3), (7, 2, 3), (7, 3, 3), (9, 3, 3), (11, 1, 11), (11, 1, 11)]
+
+
+def test_ngram_jaccard_with_a_large_cluster(spark):
+    """More near copies than a block holds, in a chain of classes; each is linked with its neighbours only."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i : i + 200])) for i in range(180)] + [(1000 + i, " ".join(f"u{i}x{j}" for j in range(40))) for i in range(40)]
+    got = {r.doc_id: r.component_id for r in ngram_jaccard(spark, table(spark, rows)).collect()}
+    assert got == {i: 0 if i < 180 else i for i, _ in rows}
+
+
 def test_signatures_never_miss():
     rng, bands = np.random.default_rng(0), Bands(90, 100)
     for size in (1, 2, 5, 9, 10, 12, 19, 30, 57, 100, 333, 1500):
@@ -118,6 +136,70 @@ def test_line_dedup(spark):
     assert line_dedup(spark, table(spark, rows)).columns[:-1] == table(spark, rows).columns
 
 
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, "\n".join(rng.choice(["", " a", "b ", "c", "d\r", "\te", "f g"]) for _ in range(rng.randint(0, 14)))) for i in range(80)]
+    first, cut = {}, collections.defaultdict(set)
+    for i, t in rows:
+        k = [(n, x.strip(" \t\n\x0b\x0c\r")) for n, x in enumerate(t.split("\n"))]
+        k = [r for r in k if r[1]]
+        for p in range(len(k) - 2):
+            f = first.setdefault(tuple(r[1] for r in k[p : p + 3]), (i, p))
+            if f != (i, p):
+                cut[i].update(k[q][0] for q in range(p, p + 3) if f[0] != i or q >= f[1] + 3)
+    want = {i: ("\n".join(x for n, x in enumerate(t.split("\n")) if n not in cut[i]), len(cut[i])) for i, t in rows}
+    assert {r.doc_id: (r.text, r.line_dedup.n_removed) for r in line_dedup(spark, table(spark, rows)).collect()} == want
+
+
+def test_line_dedup_odd_rows(spark):
+    p = "alpha\nbeta\ngamma"
+    rows = [(None, p), (None, p), (1, p), (1, p), (2, p), (2, "other"), (3, p)]
+    df = table(spark, rows).withColumn("line_dedup", F.lit("mine")).withColumn("LINE_DEDUP_", F.lit(1))
+    name = info_name(df.columns)
+    got = sorted((str(r.doc_id), r.text, r[name].n_removed) for r in line_dedup(spark, df).collect())
+    # Null ids stay; the repeated row is one document, the first; a later copy goes.
+    assert got == sorted([("None", p, 0)] * 2 + [("1", p, 0)] * 2 + [("2", "", 3), ("2", "other", 0), ("3", "", 3)])
+    assert name == "line_dedup__" and line_dedup(spark, df).columns == [*df.columns, name]
+
+
+def test_leaks_planted(spark):
+    """Items copied as they are, with other values throughout, with values that conflict, in part, and not at all."""
+    rng = random.Random(8)
+    plain = [f"n{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    items = {i: " ".join(str(rng.randint(10, 99)) if k % 6 == 3 else rng.choice(plain) for k in range(24)) for i in range(12)}
+    noise = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+
+    def other(t, seed):
+        shift = {str(v): str(v + 100 + seed) for v in range(10, 99)}
+        return " ".join(shift.get(w, w) for w in t.split())
+
+    rows, want = [], set()
+    for i, t in items.items():
+        numbers = [k for k, w in enumerate(t.split()) if w.isdigit()]
+        clash = t.split()
+        for k in numbers:
+            clash[k] = "500"  # one value for values that differ
+        made = [t, other(t, i), " ".join(t.split()[:18]), " ".join(t.split()[:8]), " ".join(clash), ""]
+        for k, text in enumerate(made):
+            rows.append((100 * i + k, f"{noise(40)} {text} {noise(40)}"))
+            if k < 3:
+                want.add((100 * i + k, i))
+        if len({t.split()[k] for k in numbers}) < 2:
+            want.add((100 * i + 4, i))
+    long = noise(60_000)
+    rows += [(5000, f"{long} {items[0]} {long}"), (5001, items[1]), (5001, items[1]), (5002, f"{items[2]} {items[2]}")]
+    want |= {(5000, 0), (5001, 1), (5002, 2)}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in leaks(spark, table(spark, rows), bench).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_leaks_of_equal_items(spark):
+    bench = spark.createDataFrame([(1, "the same words in both of the items here"), (2, "The same words in both of the items here"), (1, "the same words in both of the items here")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in leaks(spark, table(spark, [(5, "x the same words in both of the items here y")]), bench).collect())
+    assert got == [(5, 1), (5, 2)]
+
+
 def test_leaks(spark):
     bench = spark.createDataFrame([(1, "A train with 40 cars leaves the station at noon and Alice counts 12 km of track before it stops"), (2, "short question here"), (3, None), (4, "")], "item_id long, text string")
     rows = [(10, "intro words. a train with 55 cars leaves the station at noon and Bob counts 19 km of track before it stops. more"), (11, "a train with 40 cars leaves the station at noon and alice slept"), (12, "see: Short question here!"), (13, "nothing of the kind"), (14, None), (15, ""), (16, "a train with 40 cars leaves the station at noon and Alice counts 12 km of track before it stops"), (None, "short question here")]
@@ -173,6 +255,24 @@ def test_bpe_codec(spark, path, method):
     assert bpe_codec(table(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("path", VOCAB)
+def test_every_tabled_code_point(path):
+    """Words and texts of each tabled code point are cut and encoded as the library does it, and random texts of all scripts."""
+    points = [c for a, b in bpe.TABLED for c in range(a, b)] + [c for a, b in bpe.ALL_LETTERS for c in range(a, b, 97)]
+    points = [c for c in points if bpe._KIND[c] != bpe.ODD]
+    assert len(points) > 18_000 and all(bpe._KIND[ord(c)] != bpe.ODD for c in "яΩ漢字한ひकไعא🙂é̂")
+    rows = [f"a{chr(c)}b 1{chr(c)} {chr(c)}. {chr(c)}{chr(c)}z" for c in points]
+    rng, mixed = random.Random(3), "ab ÉßI's\n\t ½é́ç̧ 각각 हिन्दी ไทย мир עִב عَرَب Σς <|endoftext|> "
+    rows += ["".join(rng.choice(mixed if rng.random() < 0.7 else [chr(c) for c in points[::37]]) for _ in range(rng.randint(0, 60))) + rng.choice(["", " <|endoftext|>x", "<|startoftext|>", " "]) for _ in range(2000)]
+    lib = bpe.library(path)
+    for method in ("trie", "library"):
+        encode, _ = bpe.encoder(path, method)
+        for lo in range(0, len(rows), 1000):
+            ids, n = encode(rows[lo : lo + 1000])
+            want = [e.ids for e in lib.encode_batch_fast(rows[lo : lo + 1000], add_special_tokens=False)]
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
 def test_token_files(spark):
     rows = awkward(n=30) + [(None, "no id")]
     root = token_files.write_token_files(spark, table(spark, rows), VOCAB[1], end_id=2)
@@ -231,6 +331,44 @@ def test_token_counts(spark):
     assert got == collections.Counter((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
 
 
+def test_token_lengths_with_clashing_columns(spark):
+    df = table(spark, [(1, "a b"), (1, "a b"), (None, None)]).withColumnRenamed("sig", "n_tokens").withColumnRenamed("cut", "id")
+    got = token_counts.token_lengths(df, VOCAB[1])
+    assert got.columns == ["doc_id", "n_tokens"] and sorted((str(r.doc_id), r.n_tokens) for r in got.collect()) == [("1", 2), ("1", 2), ("None", 0)]
+
+
+def test_embedding_dedup_odd_rows(spark):
+    schema = "vec_id long, embedding array<float>"
+    assert embedding_dedup(spark, spark.createDataFrame([], schema)).count() == 0
+    v = [1.0, 2.0, 3.0, 4.0]
+    rows = [(None, v), (5, v), (5, v), (2, [2 * x for x in v]), (9, [-x for x in v]), (7, [1e-38, 0.0, 0.0, 0.0]), (8, [3e38, 0.0, 0.0, 0.0]), (None, None)]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embedding_dedup(spark, spark.createDataFrame(rows, schema).withColumn("key", F.lit(1))).collect())
+    assert got == [("2", 2, "2", True), ("5", 2, "2", False), ("5", 2, "2", False), ("7", 1, "7", True), ("8", 1, "7", False), ("9", 0, "9", True), ("None", 0, "None", False), ("None", 0, "None", False)]
+
+
+@pytest.mark.parametrize("dim", [2, 3, 16, 64, 300])
+def test_stored_codes_rule_out_no_link(dim):
+    """Estimates are unbiased, and pairs at the threshold stay open but for a normal deviation above four."""
+    rng = np.random.default_rng(dim)
+    coder = Coder(dim, 40)
+    a = rng.normal(size=(400, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    e = rng.normal(size=(400, dim))
+    e -= (e * a).sum(1, keepdims=True) * a
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    b = 0.95 * a + math.sqrt(1 - 0.95**2) * e
+    one = np.ones(400, int)
+    left, right = coder.encode(a, one), coder.encode(b, one)
+    i, j = coder.open_pairs(left, right, 0.95)
+    assert np.isin(np.arange(400) * 400 + np.arange(400), i * 400 + j).sum() >= 398
+    far = rng.normal(size=(400, dim))
+    if dim >= 16:
+        assert len(coder.open_pairs(left, coder.encode(far, one), 0.95)[0]) < 0.01 * 400 * 400
+        x = 2.0 * np.unpackbits(left["code"], axis=1)[:, : coder.signs] - 1
+        estimate = ((x @ coder.matrix) * b).sum(1) / math.sqrt(coder.signs * coder.turns) / left["f"]
+        assert abs(estimate.mean() - 0.95) < 0.01
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 24))
@@ -274,6 +412,69 @@ def test_url_filter_host_label_block(spark):
     assert got == {i: "block" if i % 2 else "allow" for i in range(80)} | {200: "block", 201: "allow"}
 
 
+def test_url_filter_against_brute_force(spark):
+    """Every set of tokens of the labelled pages as a rule, against what the mined items decide."""
+    from lodestone.llm import url_filter as U
+
+    rng = random.Random(5)
+    urls = [f"http://{rng.choice('ab')}.{rng.choice(['x', 'y', 'z'])}.org/{rng.choice(['p', 'q', 'r'])}/{rng.choice(['s', '7', '8'])}" for _ in range(900)]
+    bad = lambda u: ("a.x." in u and "/q/" in u and rng.random() < 0.97) or ("/r/s" in u and rng.random() < 0.8) or rng.random() < 0.05
+    labels = [(i, 0 if bad(u) else 1, None) for i, u in enumerate(urls[:700])]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(899, urls[899]), (None, urls[0]), (2000, "http://a.x.org/q/" + "long/" * 3000)], "page_id long, url string")
+    got = {}
+    for r in url_filter(spark, pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), [], min_support=0.03).collect():
+        assert got.setdefault(r.page_id, r.verdict) == r.verdict
+    each = spark.createDataFrame([(u,) for u in {*urls, "http://a.x.org/q/" + "long/" * 3000}], "u string").select("u", U.tokens("u").alias("t")).collect()
+    tokens = {r.u: frozenset(r.t) for r in each}
+    counts = collections.defaultdict(lambda: [0, 0])
+    for i, quality, _ in labels:
+        for n in range(1, len(tokens[urls[i]]) + 1):
+            for x in itertools.combinations(sorted(tokens[urls[i]]), n):
+                counts[x][0] += 1
+                counts[x][1] += quality == 0
+    z, rules = 3.0, []
+    for x, (n, k) in counts.items():
+        p = k / n
+        low = (p + z * z / (2 * n) - z * math.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
+        if k >= 0.03 * 700 and p >= 0.6 and low >= 0.6:
+            rules.append(frozenset(x))
+    assert rules
+    want = {i: "block" if any(x <= tokens[u] for x in rules) else "allow" for i, u in enumerate(urls)}
+    assert got == want | {None: want[0], 2000: "block" if any(x <= tokens["http://a.x.org/q/" + "long/" * 3000] for x in rules) else "allow"}
+    assert set(want.values()) == {"block", "allow"}
+
+
+def test_license_scan_against_brute_force(spark):
+    """Every window against every template; windows that hold much of one, one word changed, or all of it twice."""
+    rng = random.Random(9)
+    t = {"A": ["one two three four five six seven eight nine ten eleven twelve"], "B": ["red green blue white black grey", " ".join(f"k{i}" for i in range(40))]}
+    rows = []
+    for i, text in enumerate(x for xs in t.values() for x in xs for _ in range(40)):
+        w = text.split()
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = "zz"
+        copies = " ".join([*w, *(["gap"] * rng.randint(0, 9)), *w]) if i % 3 == 0 else " ".join(w[: rng.randint(len(w) - 4, len(w))])
+        rows.append((i, " ".join(f"f{rng.randint(0, 50)}" for _ in range(rng.randint(0, 30))) + " " + copies.upper() + " tail"))
+    rows += [(900, "x " * 50_000 + t["A"][0] + " y" * 50_000), (901, t["A"][0]), (901, t["A"][0]), (None, t["A"][0])]
+    want = set()
+    for i, text in rows:
+        w = re.findall(r"[a-z0-9]+", text.lower())
+        for name, text_ in ((n, x) for n, xs in t.items() for x in xs):
+            own = text_.split()
+            m = 8
+            while m < len(own):
+                m *= 2
+            grams = {tuple(own[k : k + 5]) for k in range(len(own) - 4)}
+            for a in range(0, len(w), m):
+                inside = w[a : a + 2 * m]
+                if i is not None and len({tuple(inside[k : k + 5]) for k in range(len(inside) - 4)} & grams) >= 0.8 * len(grams):
+                    want.add((i, name))
+    got = [(r.doc_id, r.license, r.first_word) for r in license_scan.license_scan(table(spark, rows), t).collect()]
+    assert {x[:2] for x in got} == want and len(got) == len(set(got)) and {(900, "A"), (901, "A")} <= want
+    with pytest.raises(ValueError):
+        license_scan.Bands({"long": [" ".join(f"v{i}" for i in range(5))]}, guarantee=1.0)
+
+
 def test_license_scan(spark):
     t = license_scan.TEMPLATES
     filler = " ".join(f"f{i}" for i in range(50))
@@ -304,6 +505,57 @@ def test_language_id_learns_every_language(spark):
     assert net.languages == sorted({r[2] for r in rows})
 
 
+def test_language_id_gradient():
+    """Backpropagation through time against differences of the loss."""
+    rng = np.random.default_rng(1)
+    net = language_id.Network(["a", "b", "c"], hidden=5)
+    n = rng.integers(1, 7, 12)
+    x = np.where(np.arange(6)[None] < n[:, None], rng.integers(97, 103, (12, 6)), 0)
+    y = rng.integers(0, 3, 12)
+    _, g = net.step(x, n, y)
+    for k in net.p:
+        flat, own = net.p[k].reshape(-1), np.asarray(g[k]).reshape(-1)
+        for i in np.argsort(-np.abs(own))[:6]:
+            old, by = flat[i], 1e-2
+            flat[i] = old + by
+            up, _ = net.step(x, n, y)
+            flat[i] = old - by
+            down, _ = net.step(x, n, y)
+            flat[i] = old
+            assert abs((up - down) / (2 * by) - own[i]) < 0.02 * abs(own[i]) + 1e-4, k
+
+
+def test_language_id_cuts_long_runs_at_characters():
+    text = "漢字" * 40 + " abc " + "x" * 100 + " é"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    s, e, at = language_id.units(raw, np.array([0, len(raw)]))
+    pieces = [raw[a:b].tobytes() for a, b in zip(s, e, strict=True)]
+    assert b"".join(pieces).decode() == text.replace(" ", "") and all(p.decode() and len(p) <= language_id.UNIT for p in pieces) and at.tolist() == [0, len(s)]
+
+
+def test_language_id_with_repeated_ids_and_long_texts(spark):
+    rows = [(i, f"{w} " * (40_000 if i == 1 else 20), lang) for i, (w, lang) in enumerate([("hello the of", "en"), ("licht und der", "de")] * 12)] + [(3, "the of the", "en"), (3, "the hello", "en"), (3, None, "en"), (None, "the", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (language_id.train(spark, x, steps=60) for x in (df, df.orderBy(F.desc("text")).repartition(5)))
+    assert all((one.p[k] == two.p[k]).all() for k in one.p)
+    got = language_id.identify(spark, df.withColumn("lang_pred", F.lit("x")), one).collect()
+    assert len(got) == len(rows) and sum(r.lang_pred == "und" for r in got) == 1
+
+
+TWINS = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_twin(spark, name):
+    con = duckdb.connect()
+    for f in glob.glob(f"{TWINS}/*.parquet"):
+        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    got, want = registry.queries()[name](spark, TWINS).toPandas(), con.execute(registry.oracle_sql()[name]).df()
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    assert sorted(map(tuple, got[cols].astype(str).values)) == sorted(map(tuple, want[cols].astype(str).values))
+
+
 def test_span_hash_tells_spans_apart():
     rng = np.random.default_rng(0)
     raw = rng.integers(97, 100, 3000).astype(np.uint8)
@@ -317,8 +569,6 @@ def test_span_hash_tells_spans_apart():
 
 
 def test_registered_digests(spark):
-    from lodestone.llm import registry
-
     d = "/root/testdata/sf0.001"
     text = dict(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect())
     lib = bpe.library(VOCAB[0])
