@@ -18,7 +18,7 @@ from .sources.files import capped, file_id
 from .sources.store import Store
 
 Embedder = Callable[[Column], Column]
-Model = Callable[[Column, Column], Column]
+Answerer = Callable[[Column, Column], Column]
 
 
 class Engine:
@@ -27,9 +27,9 @@ class Engine:
     Without an embedder, searches are lexical and marked as degraded.
     """
 
-    def __init__(self, spark: SparkSession, files: DataFrame, chunks: DataFrame, embedder: Embedder | None = None, scorer: rerank.Scorer | None = None, cfg: Settings = Settings(), hosted: bool = False, file_index: TextIndex | None = None, chunk_index: TextIndex | None = None, vector_index: VectorIndex | None = None, model: Model | None = None):
+    def __init__(self, spark: SparkSession, files: DataFrame, chunks: DataFrame, embedder: Embedder | None = None, scorer: rerank.Scorer | None = None, cfg: Settings = Settings(), hosted: bool = False, file_index: TextIndex | None = None, chunk_index: TextIndex | None = None, vector_index: VectorIndex | None = None, answerer: Answerer | None = None):
         self.spark, self.files, self.chunks, self.embedder, self.scorer, self.cfg, self.hosted = spark, files, chunks, embedder, scorer, cfg, hosted
-        self.file_index, self.chunk_index, self.vector_index, self.model = file_index, chunk_index, vector_index, model
+        self.file_index, self.chunk_index, self.vector_index, self.answerer = file_index, chunk_index, vector_index, answerer
 
     @classmethod
     def open(cls, spark: SparkSession, store: Store, embedder: Embedder | None = None, model: str = "", **kw) -> "Engine":
@@ -85,15 +85,15 @@ class Engine:
     def chat(self, queries: DataFrame, n: int | None = None) -> DataFrame:
         """One row for each query: context in rank order, sources as first seen, whether there is anything to answer from, and the answer.
 
-        The model maps (question, context) to an answer and is asked only where
-        something was retrieved; else the fixed answer is given. Without a model
+        The answerer maps (question, context) to an answer and is asked only where
+        something was retrieved; else the fixed answer is given. Without one
         other answers are null.
         """
         x = self.search(queries, n or self.cfg.chat_results)
         found = usage.chat_context(x.select("query_id", "pos", F.col("id").alias("source"), F.col("document").alias("content")))
         all_ = queries.select("query_id", F.col("text").alias("question")).join(found, "query_id", "left")
         all_ = all_.withColumns({"context": F.coalesce("context", F.lit("")), "sources": F.coalesce("sources", F.lit("")), "grounded": F.coalesce("grounded", F.lit(False))})
-        own = F.lit(None).cast("string") if self.model is None else F.when(F.col("grounded"), self.model(F.col("question"), F.col("context")))
+        own = F.lit(None).cast("string") if self.answerer is None else F.when(F.col("grounded"), self.answerer(F.col("question"), F.col("context")))
         listed = T.source_list(F.split("sources", r"\|"))
         return all_.withColumn("answer", F.coalesce(T.answer_guard(F.col("context")), F.concat(own, listed)))
 

@@ -54,23 +54,29 @@ def inside(name: str) -> str | None:
     return None if p == ".." or p.startswith("../") else p
 
 
+def entries(raw: bytes) -> Iterator[tuple[str, str | None]]:
+    """(path, text) of an archive's files; a single top folder is taken off; text is None where it is no UTF-8."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        names = [i.filename for i in z.infolist() if not i.is_dir()]
+        bad = [n for n in names if inside(n) is None]
+        if bad:
+            raise ValueError(f"an archive entry lies outside its folder: {bad[0]}")
+        tops = {inside(n).split("/")[0] for n in names}
+        strip = len(tops) == 1 and all("/" in inside(n) for n in names)
+        for n in names:
+            p = inside(n)
+            try:
+                text = z.read(n).decode("utf-8-sig")
+            except UnicodeDecodeError:
+                text = None
+            yield (p.split("/", 1)[1] if strip else p), text
+
+
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
         for raw in x["content"]:
-            with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                names = [i.filename for i in z.infolist() if not i.is_dir()]
-                bad = [n for n in names if inside(n) is None]
-                if bad:
-                    raise ValueError(f"an archive entry lies outside its folder: {bad[0]}")
-                tops = {inside(n).split("/")[0] for n in names}
-                strip = len(tops) == 1 and all("/" in inside(n) for n in names)
-                for n in names:
-                    p = inside(n)
-                    try:
-                        text = z.read(n).decode("utf-8-sig")
-                    except UnicodeDecodeError:
-                        text = None
-                    yield pd.DataFrame({"file_path": [p.split("/", 1)[1] if strip else p], "content": [text]})
+            for path, text in entries(raw):
+                yield pd.DataFrame({"file_path": [path], "content": [text]})
 
 
 def archive_files(spark: SparkSession, path: str, cfg: Settings = Settings()) -> DataFrame:

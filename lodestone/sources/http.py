@@ -28,10 +28,14 @@ def pause(attempt: int, retry_after: str | None = None) -> float:
 
 def get(url: str, headers: dict[str, str] | None = None, opener: Callable = urllib.request.urlopen, sleep: Callable[[float], None] = time.sleep) -> str:
     """The body as text; statuses that may pass are tried again."""
+    return fetch(url, headers, opener, sleep).decode("utf-8", "replace")
+
+
+def fetch(url: str, headers: dict[str, str] | None = None, opener: Callable = urllib.request.urlopen, sleep: Callable[[float], None] = time.sleep) -> bytes:
     for attempt in range(1, ATTEMPTS + 1):
         try:
             with opener(urllib.request.Request(url, headers=headers or {}), timeout=60) as r:
-                return r.read().decode("utf-8", "replace")
+                return r.read()
         except urllib.error.HTTPError as e:
             if attempt == ATTEMPTS or not transient(e.code):
                 raise

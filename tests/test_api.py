@@ -246,3 +246,81 @@ def test_usage_streams(spark, tmp_path):
     days = str(tmp_path / "days")
     U.append(U.daily_usage(stream()), days, checks + "d").awaitTermination(60)
     assert sorted(map(tuple, spark.read.parquet(days).collect())) == [("2024-01-01", "search", 1), ("2024-01-02", "search", 1)]
+
+
+@pytest.fixture(scope="module")
+def service():
+    """A repository service on this machine that fails each first listing and one content."""
+    import http.server
+    import threading
+    from urllib.parse import parse_qs, urlparse
+
+    seen = {}
+    pages = {
+        "versions": {"value": [{"path": "$/Root", "isFolder": True}, {"path": "$/Root/src/A.cs"}, {"path": "$/Root/bin/B.cs"}, {"path": "$/Root/Gone.cs"}]},
+        "git": {"value": [{"path": "/src", "gitObjectType": "tree"}, {"path": "/src/A.cs", "gitObjectType": "blob"}, {"path": "/x.md", "gitObjectType": "blob"}, {"path": "/C d.cs"}]},
+    }
+
+    class H(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            u = urlparse(self.path)
+            q, body, code = parse_qs(u.query), b"", 200
+            kind = "versions" if "/tfvc/" in u.path else "git"
+            if u.path.startswith("/repos/"):
+                if u.path.endswith("/own/rep"):
+                    body = b'{"default_branch": "trunk"}'
+                elif u.path.endswith("/zipball/trunk"):
+                    out = io.BytesIO()
+                    with zipfile.ZipFile(out, "w") as z:
+                        z.writestr("own-rep-1/src/Z.cs", "class Z {}")
+                        z.writestr("own-rep-1/obj/Y.cs", "class Y {}")
+                    body = out.getvalue()
+                else:
+                    code = 404
+            elif "recursionLevel" in q:
+                seen[kind] = seen.get(kind, 0) + 1
+                body = json.dumps(pages[kind] if seen[kind] > 1 else {"value": []}).encode()
+            elif "Gone" in q["path"][0]:
+                code = 404
+            else:
+                body = f"text of {q['path'][0]} {q.get('versionDescriptor.version', [''])[0]} {self.headers.get('Authorization', '')}".encode()
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), H)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_hosted_repositories(spark, service):
+    from lodestone.sources import remote
+
+    remote.register(spark)
+    read = lambda **o: {r.file_path: r.content for r in spark.read.format("repository").options(base=service, **o).load().collect()}
+    assert read(kind="versions", project="P", root="$/Root", authorization="Basic eA==") == {"src/A.cs": "text of $/Root/src/A.cs  Basic eA==", "Gone.cs": None}
+    assert read(kind="git", project="P", repo="r 1", branch="dev/x", tasks="2") == {"src/A.cs": "text of /src/A.cs dev/x ", "C d.cs": "text of /C d.cs dev/x "}
+    assert read(kind="zip", repo="own/rep") == {"src/Z.cs": "class Z {}"}
+    with pytest.raises(Exception, match="unknown kind"):
+        read(kind="other")
+
+
+def test_chat_answers_and_settings_of_builds(spark, root, tmp_path):
+    store = Store(spark, str(tmp_path))
+    embed = K.hashing_embedder(16)
+    assert api.build_index(spark, S.local_files(spark, root), store, embed, "m", Settings(min_chunk_tokens=1, overlap_ceiling=0), dimension=16)
+    e = api.Engine.open(spark, store, embed, "m", answerer=lambda q, c: F.concat(F.lit("answer to "), q))
+    assert e.vector_index is not None and store.indexed() and int(store.manifest()["last_run"]) > 0
+    assert "members" not in {r.chunk_type for r in e.chunks.select("chunk_type").collect()} and e.chunks.where(F.col("content").contains("// next: ")).count() == 0
+    got = {r.query_id: r.answer for r in e.chat(spark.createDataFrame([(1, "enqueue order")], QUERIES)).collect()}
+    assert got[1].startswith("answer to enqueue order\n\nSources:\n- src/")
+    plain = api.Engine(spark, e.files, e.chunks, answerer=e.answerer)
+    none = plain.chat(spark.createDataFrame([(2, "the a of")], QUERIES)).first()
+    assert none.query_id == 2 and not none.grounded and "indexed codebase" in none.answer
+    with pytest.raises(Exception, match="components"):
+        api.build_index(spark, S.local_files(spark, root), store, embed, "m", dimension=8)
+    assert store.count("files") == 2
