@@ -496,32 +496,151 @@ def wordpiece_tokens(spark, d):
     return x.select("id", F.array_join(F.transform("ids", lambda t: t.cast("string")), ",").alias("ids"))
 
 
+# One file of code for each part; {k} is its key, {n} its size, {name} its name.
+CODE = """using System;
+using Shop.Parts;
+namespace Shop.N{n}
+{
+    /// "}" in a comment
+    [Serializable]
+    public sealed class Part{k} : Base{n}<Item>, IPart
+    {
+        #region Fields {n}
+        public const int Size = {n};
+        private static int made{n} = 0;
+        private Dictionary<string, Item{k}> byName;
+        public event EventHandler Changed{n};
+        public delegate void Notify{k}(int a);
+        #endregion
+        public string Name { get; set; } = "{{name}";
+        public Part{k}(int a) { Size = a; }
+        public override int Price{k}(Item x) { return x.Cost; }
+        public virtual async Task Load{n}() { var q = "SELECT a FROM t WHERE b"; await q; }
+        protected abstract void Draw{k}();
+    }
+    public enum Kind { None, A{n} }
+    public interface IShop{k} { void Open(); }
+}
+"""
+
+
 def _code(spark, d) -> DataFrame:
-    """One file of code for each part, so that parsers have whole tables to read."""
-    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
-    code = F.concat(
-        F.lit("using System;\nusing Shop.Parts;\nnamespace Shop.N"), size, F.lit("\n{\n    /// \"}\" in a comment\n    public sealed class Part"), k, F.lit(" : Base"), size,
-        F.lit("<Item>, IPart\n    {\n        public const int Size = "), size, F.lit(";\n        public string Name { get; set; } = \"{"), F.col("p_name"),
-        F.lit("\";\n        public Part"), k, F.lit("(int a) { Size = a; }\n        public override int Price"), k, F.lit("(Item x) { return x.Cost; }\n    }\n    public enum Kind { None, A"), size, F.lit(" }\n}\n"),
-    )
+    k, code = F.col("p_partkey").cast("string"), F.lit(CODE)
+    for mark, value in (("{k}", k), ("{n}", F.col("p_size").cast("string")), ("{name}", F.col("p_name"))):
+        code = F.replace(code, F.lit(mark), value)
     return table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), F.concat(F.lit("src/"), k, F.lit(".cs")).alias("file_path"), code.alias("content"))
 
 
-@query("""select p_partkey as file_id, 'class' as file_type, 'Shop.N' || p_size as namespace, 'Part' || p_partkey as class_name, 'public sealed' as class_modifiers, 'Base' || p_size || '<Item>' as base_class, 'IPart' as interfaces,
-'Part' || p_partkey as class_names, 'Name' as property_names, 'string Name' as properties, 'Price' || p_partkey as method_names, 'public Part' || p_partkey || '(int a)' as constructors, 'Price' || p_partkey as overridden_methods,
-'' as abstract_methods, 'Kind(A' || p_size || ')' as enum_values, 'Size' as constants, 'Base' || p_size as generic_types, 'Base' || p_size || ' IPart Item' as referenced_types, 'Shop.Parts | System' as usings from part""")
+@query("""select p_partkey as file_id, 'class' as file_type, 'Shop.N' || n as namespace, 'Part' || k as class_name, 'public sealed' as class_modifiers, 'Base' || n || '<Item>' as base_class, 'IPart' as interfaces,
+'Part' || k || ' IShop' || k as class_names, 'Name' as property_names, 'string Name' as properties, 'Price' || k || ' Load' || n || ' Draw' || k || ' Open' as method_names, 'public Part' || k || '(int a)' as constructors, 'Price' || k as overridden_methods,
+'Draw' || k as abstract_methods, 'Load' || n as virtual_methods, 'Load' || n as async_methods, 'Kind(A' || n || ')' as enum_values, 'Size' as constants, 'made' || n as static_fields, 'Serializable' as attributes, 'Changed' || n as events, 'Notify' || k as delegates,
+'Base' || n || ' Dictionary' as generic_types, 'Base' || n || ' Dictionary EventHandler IPart Item Item' || k || ' Task var' as referenced_types, 'Dictionary<string, Item' || k || '>' as dictionaries, 'SELECT WHERE' as sql_operations, 'Shop.Parts System' as usings, 'Fields ' || n as regions
+from (select p_partkey, p_partkey::varchar as k, p_size::varchar as n from part)""")
 def extract_metadata(spark, d):
-    names = "file_id file_type namespace class_name class_modifiers base_class interfaces class_names property_names properties method_names constructors overridden_methods abstract_methods enum_values constants generic_types referenced_types usings"
-    return parsed.extract_metadata(_code(spark, d)).select(names.split())
+    """All fields, with separators of lists shown as a space."""
+    x = parsed.extract_metadata(_code(spark, d))
+    whole = ("file_id", "constructors", "dictionaries", "enum_values")
+    return x.select(*[f if f in whole else F.regexp_replace(f, r"\s*[|,;]\s*", " ").alias(f) for f in x.columns])
+
 
+_PART = "(select p_partkey, p_partkey::varchar as k, p_size::varchar as n from part)"
+_KINDS = """(values (0, 'class', 'Part' || k, 'Part' || k, 6, 21, ''), (1, 'members', 'Part' || k || '+Price' || k, 'Part' || k, 17, 18, ''), (2, 'method', 'Load' || n, 'Part' || k, 19, 19, 'public virtual async Task Load' || n || '()'),
+(3, 'method', 'Draw' || k, 'Part' || k, 20, 20, 'protected abstract void Draw' || k || '()'), (4, 'interface', 'IShop' || k, 'IShop' || k, 23, 23, 'interface IShop' || k)) as c(seq, chunk_type, name, class_name, start_line, end_line, signature)"""
 
-@query("""select p_partkey as file_id, seq, chunk_type, name, class_name, start_line, end_line from (
-select p_partkey, 0 as seq, 'class' as chunk_type, 'Part' || p_partkey as name, 'Part' || p_partkey as class_name, 6 as start_line, 12 as end_line from part
-union all select p_partkey, 1, 'members', 'Part' || p_partkey || '+Price' || p_partkey, 'Part' || p_partkey, 10, 11 from part)""")
+
+@query(f"select p_partkey as file_id, seq, chunk_type, name, class_name, start_line, end_line from {_PART}, lateral (select * from {_KINDS})")
 def chunk_files(spark, d):
     return parsed.chunk_files(_code(spark, d)).select("file_id", "seq", "chunk_type", "name", "class_name", "start_line", "end_line")
 
 
+@query(f"""select p_partkey as file_id, seq, signature, 'Shop.N' || n as namespace, case when seq < 4 then 'Part' || k || ' : Base' || n || '<Item>, IPart' else '' end as parent_context, 'src/' || k || '.cs:' || chunk_type || ':' || name || ':' || start_line as chunk_key,
+case when seq = 0 then 'using System;' when seq < 4 then '// File: src/' || k || '.cs' else 'public interface IShop' || k || ' {{ void Open(); }}' end as first_line, seq in (1, 2) as shows_next
+from {_PART}, lateral (select * from {_KINDS})""")
+def chunk_details(spark, d):
+    """Signatures, contexts, keys, the first line, and whether the next member's preview is appended."""
+    x = parsed.chunk_files(_code(spark, d))
+    return x.select("file_id", "seq", "signature", "namespace", "parent_context", "chunk_key", F.split("content", "\n")[0].alias("first_line"), F.col("content").contains("// next: ").alias("shows_next"))
+
+
+@query("select file_id, seq, chunk_key from (select *, row_number() over (partition by chunk_key order by file_id, seq) as n from (select doc_id as file_id, (doc_id % 3)::int as seq, lang || doc_id % 50 as chunk_key from documents)) where n = 1")
+def unique_chunks(spark, d):
+    i = F.col("doc_id")
+    c = table(spark, d, "documents").select(i.alias("file_id"), (i % 3).cast("int").alias("seq"), F.concat("lang", (i % 50).cast("string")).alias("chunk_key"))
+    return parsed.unique_chunks(c)[0].select("file_id", "seq", "chunk_key")
+
+
+@query("select p_partkey, upper(p_name[1]) || p_name[2:] as name from part")
+def first_upper(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.first_upper(F.col("p_name")).alias("name"))
+
+
+@query(r"select page_id, regexp_replace(list_last(string_split(regexp_replace(url, '[?#].*$', ''), '/')), '\.[^.]*$', '') as stem from pages")
+def file_stem(spark, d):
+    return table(spark, d, "pages").select("page_id", T.stem(F.regexp_replace("url", r"[?#].*$", "")).alias("stem"))
+
+
+@query("""with k as (select doc_id, source || repeat(lang, (doc_id % 300)::int) as key from documents),
+h as (select doc_id, key, list_reduce(list_prepend(2166136261::hugeint, list_transform(string_split(key, ''), lambda c: ascii(c)::hugeint)), lambda h, c: xor(h, c) * 16777619 & 4294967295)::bigint as hash from k)
+select doc_id, case when length(key) > 500 then substring(key, 1, 491) || '#' || format('{:08x}', hash) else key end as key from h""")
+def cap_key(spark, d):
+    x = table(spark, d, "documents")
+    return x.select("doc_id", T.cap_key(F.concat("source", F.repeat("lang", (F.col("doc_id") % 300).cast("int")))).alias("key"))
+
+
+@query(r"select p_partkey, regexp_replace(regexp_replace(printf('%.5f', p_partkey * 37 % 100000 / 1e5), '0+$', ''), '\.$', '') as score from part")
+def score_format(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.score_text(F.col("p_partkey") * 37 % 100000 / F.lit(1e5)).alias("score"))
+
+
+@query("""select event_id as query_id, 0::bigint as position, (event_id % 100) / 100e0 as rerank_score from events where event_id % 4 <> 3
+union all select event_id, 1, case when event_id % 4 = 0 then 0.5 else 0 end from events where event_id % 4 in (0, 1)""")
+def service_scores(spark, d):
+    """Answers of scoring services: an object with results, bare lists with scores or none, and broken text."""
+    e = F.col("event_id")
+    s = (e % 100 / F.lit(100e0)).cast("string")
+    body = F.when(e % 4 == 0, F.concat(F.lit('{"results": [{"index": 0, "relevance_score": '), s, F.lit('}, {"index": 1, "score": 0.5}]}')))
+    body = body.when(e % 4 == 1, F.concat(F.lit('[{"index": 0, "score": '), s, F.lit('}, {"index": 1}]'))).when(e % 4 == 2, F.concat(F.lit('[{"index": 0, "relevance_score": '), s, F.lit("}]"))).otherwise("no answer")
+    return rerank.parse_scores(table(spark, d, "events").select(e.alias("query_id"), body.alias("json")))
+
+
+@query("select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id from events group by user_id")
+def newest_first(spark, d):
+    return sources.newest_first(table(spark, d, "events"), "user_id", "event_id").select("user_id", "event_type", "event_id")
+
+
+@query("select doc_id, 'query: ' || text as local_query, 'passage: ' || text as local_passage, '<instruct>find' || chr(10) || '<query>' || text as hosted_query, text as hosted_passage from documents")
+def embed_prefixes(spark, d):
+    kinds = [(k, h) for h in (False, True) for k in ("query", "passage")]
+    names = ["local_query", "local_passage", "hosted_query", "hosted_passage"]
+    return table(spark, d, "documents").select("doc_id", *[tokenizers.instructed(F.col("text"), k, h, "find").alias(n) for n, (k, h) in zip(names, kinds, strict=True)])
+
+
+@query("select unnest(['src/A' || page_id || '.cs', 'B' || page_id || '.cs']) as file_path from pages where page_id % 5 <> 0")
+def listed_versions(spark, d):
+    """Pages of a tree's listing: folders left out, paths below the root, broken pages without rows."""
+    i = F.col("page_id").cast("string")
+    body = F.concat(F.lit('{"value": [{"path": "$/root", "isFolder": true}, {"path": "$/root/src/A'), i, F.lit('.cs"}, {"path": "$/Root/B'), i, F.lit('.cs", "isFolder": false}]}'))
+    return sources.listing(table(spark, d, "pages").select(F.when(F.col("page_id") % 5 == 0, "broken").otherwise(body).alias("json")), "versions", "$/ROOT/")
+
+
+@query(f"""with r as (select 0::bigint as query_id, 'licensed apache' as text), {_FILES}, {_bm25('ff', _FILE_TEXT)}
+select file_path, file_type as class_name, rank from ff join files on id = file_id where rank > 0 order by rank desc, id limit 40""")
+def lexical_fallback(spark, d):
+    """A question without names goes to the full text by its keywords."""
+    f = files(spark, d).withColumns({"class_name": F.col("file_type"), "base_class": F.lit(""), "method_names": F.lit(""), "property_names": F.lit("")})
+    return lexical.fallback_search(spark, f, "Where is the licensed, apache?", 40, text_index(spark, d, "files"))
+
+
+@query(f"""with {_FILES}, x as (select *, row_number() over (partition by file_type order by file_id)::int as pos from files)
+select file_type as query_id, pos, file_path as id, case when pos > 1 and length(content) > 1500 then substring(content, 1, 1500) || chr(10) || '... [truncated] ...' else content end as document, file_type as shown, '' as base_class from x where pos <= 9""")
+def result_shape(spark, d):
+    """What a search returns: the first nine of each language as one query, contents cut but for the first, metadata as text."""
+    w = Window.partitionBy("file_type").orderBy("file_id")
+    x = files(spark, d).withColumns({"pos": F.row_number().over(w), "query_id": F.col("file_type"), "base_class": F.lit(None).cast("string"), "lexical": F.lit(True), "question": F.lit("q")})
+    x = rerank.shaped(rerank.rerank(x, None, n_results=9), rerank.FALLBACK_KEYS)
+    return x.select("query_id", "pos", "id", "document", F.col("metadata")["file_type"].alias("shown"), F.col("metadata")["base_class"].alias("base_class"))
+
+
 @query("select doc_id, source from (select doc_id, source from documents where doc_id % 5 <> 0 union all select doc_id, 'new' from documents where doc_id % 5 = 0)")
 def replace_by_key(spark, d):
     x = table(spark, d, "documents").select("doc_id", "source")
