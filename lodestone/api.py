@@ -97,6 +97,10 @@ class Engine:
         listed = T.source_list(F.split("sources", r"\|"))
         return all_.withColumn("answer", F.coalesce(T.answer_guard(F.col("context")), F.concat(own, listed)))
 
+    def retry(self, queries: DataFrame, n: int | None = None) -> DataFrame:
+        """chat once more for questions whose answer was turned down, asked for more detail."""
+        return self.chat(queries.withColumn("text", F.concat(F.lit(T.MORE_DETAIL), F.coalesce("text", F.lit("")))), n)
+
     def systems(self) -> DataFrame:
         return usage.facets(self.files, "file_type")
 

@@ -7,6 +7,7 @@ import os
 from dataclasses import dataclass, fields, replace
 
 
+# The defaults, and below the ranges.
 @dataclass(frozen=True)
 class Settings:
     vector_weight: int = 60

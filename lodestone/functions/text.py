@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 STOP_WORDS = "what where when who how would should could create make build properties does have the for a an in on to is are show me find get exist exists see can using".split()
 SQL_KEYWORDS = ["SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "JOIN", "WHERE", "GROUP BY", "ORDER BY"]
 GUARD = "warmup keepalive"
+MORE_DETAIL = "Please answer in more detail: "
 WORD = r"[\p{L}0-9]+"
 NO_GROUNDS = "Nothing retrieved from the indexed codebase answers this question, so no answer is given."
 
@@ -118,6 +119,11 @@ def json_number(doc: Column, path: str) -> Column:
     return F.get_json_object(doc, path).try_cast("int")
 
 
+def zero_vector(dimension: int) -> Column:
+    """The JSON text of the zero vector, as a probe of a vector index takes it."""
+    return F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit("0"), dimension), ","), F.lit("]"))
+
+
 def vector_json(v: Column) -> Column:
     return F.to_json(v)
 

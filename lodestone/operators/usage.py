@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+from concurrent.futures import Future, ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +55,23 @@ def feedback_line() -> Column:
     return F.concat_ws("|", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), rating, F.concat(F.lit("Q:"), flat("question")), F.concat(F.lit("A:"), flat("answer")))
 
 
+_WRITER = ThreadPoolExecutor(1, "usage")
+
+
+def append_later(rows: DataFrame, path: str, kind: str = "parquet") -> Future:
+    """Append facts or log lines in the background; a failure is logged, gives False, and never reaches the request."""
+
+    def write() -> bool:
+        try:
+            rows.write.mode("append").format(kind).save(path)
+            return True
+        except Exception as e:  # whatever it is, the request that made the rows goes on
+            logging.getLogger(__name__).warning("usage was not written to %s: %s", path, str(e)[:200])
+            return False
+
+    return _WRITER.submit(write)
+
+
 def observed_top(scores: DataFrame, rows: DataFrame) -> DataFrame:
     """(query_id, observed_top): the best score that belongs to a row of the query; null where none does."""
     s = rows.select("query_id", "position").join(scores, ["query_id", "position"], "left")

@@ -735,6 +735,17 @@ def json_scalar(spark, d):
     return table(spark, d, "events").select("event_id", T.json_number(F.col("props"), "$.k").alias("k"))
 
 
+@query("select vec_id, '[' || array_to_string(list_transform(range(len(embedding)), lambda i: '0'), ',') || ']' as zero from embeddings")
+def zero_vector(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", T.zero_vector(64).alias("zero"))
+
+
+@query("select page_id, case when page_id % 2 = 0 then 'HTTPS://www/x' || page_id else 'https://WWW/' || ltrim(replace(url, chr(92), '/'), '/') end as path from pages")
+def rooted_paths(spark, d):
+    p = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("HTTPS://www/x"), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("//"), "url"))
+    return table(spark, d, "pages").select("page_id", sources.rooted(p, "https://WWW").alias("path"))
+
+
 @query(f"select query_id, max(rerank_score) filter (position % 4 <> 0) as observed_top from ({_SCORED}) group by query_id")
 def observed_top(spark, d):
     s = _scored(spark, d)

@@ -105,6 +105,12 @@ def relative(path: Column, root: str) -> Column:
     return F.regexp_replace(F.when(F.lower(p).startswith(root.lower()), F.substring(p, len(root) + 1, 1 << 30)).otherwise(p), "^/+", "")
 
 
+def rooted(path: Column, root: str) -> Column:
+    """The path below root; one that lies there already stays."""
+    base = root.rstrip("/") + "/"
+    return F.when(F.lower(path).startswith(base.lower()), path).otherwise(F.concat(F.lit(base), F.regexp_replace(F.translate(path, "\\", "/"), "^/+", "")))
+
+
 def history(changes: DataFrame, first: bool) -> DataFrame:
     """changes (file_path, author, ts, change_id) -> (file_path, author, day): the oldest change, or the newest.
 

@@ -318,9 +318,19 @@ def test_chat_answers_and_settings_of_builds(spark, root, tmp_path):
     assert "members" not in {r.chunk_type for r in e.chunks.select("chunk_type").collect()} and e.chunks.where(F.col("content").contains("// next: ")).count() == 0
     got = {r.query_id: r.answer for r in e.chat(spark.createDataFrame([(1, "enqueue order")], QUERIES)).collect()}
     assert got[1].startswith("answer to enqueue order\n\nSources:\n- src/")
+    assert e.retry(spark.createDataFrame([(1, "enqueue order")], QUERIES)).first().answer.startswith("answer to Please answer in more detail: enqueue order")
     plain = api.Engine(spark, e.files, e.chunks, answerer=e.answerer)
     none = plain.chat(spark.createDataFrame([(2, "the a of")], QUERIES)).first()
     assert none.query_id == 2 and not none.grounded and "indexed codebase" in none.answer
     with pytest.raises(Exception, match="components"):
         api.build_index(spark, S.local_files(spark, root), store, embed, "m", dimension=8)
     assert store.count("files") == 2
+
+
+def test_background_writes(spark, tmp_path):
+    from lodestone.operators import usage
+
+    rows = spark.createDataFrame([("a line",)], "value string")
+    assert usage.append_later(rows, str(tmp_path / "log"), "text").result() and usage.append_later(rows, str(tmp_path / "log"), "text").result()
+    assert spark.read.text(str(tmp_path / "log")).count() == 2
+    assert usage.append_later(rows, str(tmp_path / "log"), "no-such-format").result() is False
