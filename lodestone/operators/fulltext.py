@@ -45,9 +45,9 @@ class TextIndex:
     def write(self, root: str) -> None:
         """Three tables below root; postings and terms lie in folders by the hash of the term, sorted by term, so a search reads few of them."""
         spark = self.postings.sparkSession
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         salt = F.pmod(F.xxhash64("id"), F.lit(SPREAD))
-        dealt = self.postings.repartition(max(parts, BUCKETS), "bucket", salt).sortWithinPartitions("bucket", "term", "id")
+        # Without a number, so that few postings make few files.
+        dealt = self.postings.repartition("bucket", salt).sortWithinPartitions("bucket", "term", "id")
         dealt.write.partitionBy("bucket").parquet(f"{root}/postings")
         stored = spark.read.parquet(f"{root}/postings")
         self._counted(stored).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/terms")

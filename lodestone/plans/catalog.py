@@ -66,8 +66,7 @@ def text_index(spark: SparkSession, d: str, name: str) -> TextIndex:
     It is built by the first query of an application that asks for it, and
     again if a file of the table has another size or time.
     """
-    m = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    key = (spark.sparkContext.applicationId, d, name, *sorted(map(str, m.collect())))
+    key = (spark.sparkContext.applicationId, d, name, *store.stamps(spark, f"{d}/documents.parquet"))
     if key not in _BUILT:
         root = f"{store.shared_root(spark)}/text-{name}-{uuid.uuid4().hex}"
         df, id_col = (files(spark, d), "file_id") if name == "files" else (lines(spark, d), "chunk_id")

@@ -21,6 +21,13 @@ def shared_root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def stamps(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, size, time) of a table's files, or of the file itself."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p))
+
+
 class Store:
     """Tables below a folder; ``manifest`` names the live version, so a switch is one atomic rename."""
 
