@@ -22,7 +22,7 @@ from lodestone.llm.decontaminate import leaks
 from lodestone.llm.embedding_dedup import Coder, embedding_dedup
 from lodestone.llm.graph import components
 from lodestone.llm.line_dedup import info_name, line_dedup
-from lodestone.llm.ngram_jaccard import Bands, ngram_jaccard, signatures
+from lodestone.llm.ngram_jaccard import Bands, ngram_jaccard, signatures, sketch
 from lodestone.llm.storage import Scratch
 from lodestone.llm.url_filter import url_filter
 
@@ -97,6 +97,15 @@ def test_signatures_never_miss():
                 assert np.intersect1d(signatures(a, bands), signatures(b, bands)).size
 
 
+def test_sketches_bound_intersections():
+    rng = np.random.default_rng(4)
+    for size in (1, 7, 64, 900):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: size // 2], rng.integers(0, 1 << 63, size, dtype=np.uint64)]))
+        x, y = (np.frombuffer(sketch(s), "<u4") for s in (a, b))
+        assert x.sum() == len(a) and np.minimum(x, y).sum() >= len(np.intersect1d(a, b))
+
+
 @pytest.mark.parametrize("size", [11, 157, 308, 600, 840])
 def test_choices_miss_no_more_than_asked(size):
     bands, rng, n = Bands(80, 100, 1e-4), np.random.default_rng(5), 100_000
