@@ -21,10 +21,14 @@ their probabilities is a bound. Choices without features are left out.
 Sets that are equal are one class and enter the join once. Classes that share
 a signature are not expanded into pairs: each signature only ties its members
 to its smallest one, and the components of these ties are the candidate
-clusters. A cluster is cut into blocks of bounded size; a task gets two blocks,
-counts all their intersections exactly and returns a spanning forest of the
-links it finds. So no link is lost, rows stay linear in the documents of a
-block pair, and a large cluster is spread over many tasks.
+clusters. A cluster is cut into blocks of bounded size, and a task gets two
+blocks, at first with the sets' sketches only: how many features fall into each
+of CELLS cells. The sum of the smaller counts bounds an intersection from
+above, so pairs that it keeps below the threshold have no link. For the sets of
+the pairs that are left, features are sent; a task counts their intersections
+exactly and returns a spanning forest of the links it finds. So no link is
+lost, rows stay linear in the documents of a block pair, and a large cluster is
+spread over many tasks.
 """
 
 from __future__ import annotations
@@ -42,8 +46,11 @@ from .graph import components, local_roots
 from .storage import Scratch, small_batches
 
 U64 = np.uint64
-SIGNED = "id long, n long, h1 long, sigs array<long>"
-BLOCK_DOCS, BLOCK_FEATURES = 128, 100_000
+SIGNED = "id long, n long, h1 long, sigs array<long>, sketch binary"
+CELLS = 64
+BLOCK_DOCS, BLOCK_FEATURES = 64, 100_000
+# Places of so many sets are broadcast to where the sets are made; beyond it both are joined by a shuffle.
+BROADCAST_SETS = 300_000
 BLOOM_BITS, SHARED_BITS = 1 << 23, 1 << 25
 PARTS, FEATURES = 64, 10
 # Pairs simulated for a band, the share of miss that may be left there, and the largest set whose bands are drawn before the job.
@@ -154,6 +161,11 @@ def class_key(s: np.ndarray) -> np.uint64:
         return K.mix(both[:1] ^ K.mix(both[1:]))[0]
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many features fall into each cell."""
+    return np.bincount((s & U64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype("<u4").tobytes()
+
+
 def _sign(n: int, num: int, den: int, miss: float, growth: float = 0.0, two_level: int = 24):
     bands = Bands(num, den, miss, growth, two_level)
     for tag in bands.tags(DRAWN) if miss else ():
@@ -164,13 +176,14 @@ def _sign(n: int, num: int, den: int, miss: float, growth: float = 0.0, two_leve
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 b = batch.slice(lo, 2000)
-                size, h1, sigs = [], [], []
+                size, h1, sigs, cells = [], [], [], []
                 for s in _sets(b.column(1), n):
                     size.append(len(s))
+                    cells.append(sketch(s) if len(s) else None)
                     h1.append(class_key(s))
                     sigs.append(signatures(s, bands) if len(s) else s)
                 flat = np.concatenate(sigs).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(np.array(h1, U64).view(np.int64)), K.ragged(flat, [len(x) for x in sigs], pa.int64())], ["id", "n", "h1", "sigs"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(np.array(h1, U64).view(np.int64)), K.ragged(flat, [len(x) for x in sigs], pa.int64()), pa.array(cells, pa.binary())], ["id", "n", "h1", "sigs", "sketch"])
 
     return run
 
@@ -237,20 +250,52 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out.reshape(len(left), len(right))
 
 
+_KEY = ["cluster", "bi", "bj"]
+
+
+def _sides(table: pa.Table, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """(start, end, rows of the left block, of the right one, whether they are one block) of each group with pairs."""
+    side, bi, bj = table["side"].to_numpy(), table["bi"].to_numpy(), table["bj"].to_numpy()
+    for s, e in zip(at.tolist(), at[1:].tolist(), strict=False):
+        alone = bool(bi[s] == bj[s])
+        left, right = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
+        right = left if alone else right
+        if len(left) and len(right) and not (alone and len(left) < 2):
+            yield s, e, left, right, alone
+
+
+def _judge(num: int, den: int):
+    """The rows (cluster, bi, bj, side, id, h1) of sets in pairs that sketches don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in K.runs(batches, _KEY):
+            cells = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u4").reshape(-1, CELLS).astype(np.int64)
+            size = cells.sum(axis=1)
+            keep = np.zeros(len(table), bool)
+            for _, _, left, right, alone in _sides(table, at):
+                most = np.zeros((len(left), len(right)), np.int64)
+                for c in range(CELLS):
+                    most += np.minimum(cells[left, c][:, None], cells[right, c][None, :])
+                near = most * den >= (size[left][:, None] + size[right][None, :] - most) * num
+                if alone:
+                    np.fill_diagonal(near, False)
+                keep[left[near.any(axis=1)]] = True
+                keep[right[near.any(axis=0)]] = True
+            if keep.any():
+                yield from table.drop_columns(["sketch"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
+
+
 def _compare(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in K.runs(batches, ["cluster", "bi", "bj"]):
-            side, node = table["side"].to_numpy(), table["id"].to_numpy()
+        for table, at in K.runs(batches, _KEY):
+            node = table["id"].to_numpy()
             lists = table["features"].combine_chunks() if isinstance(table["features"], pa.ChunkedArray) else table["features"]
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             found_a, found_b = [], []
-            for s, e in zip(at, at[1:], strict=False):
-                left, right = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
-                alone = table["bi"][int(s)] == table["bj"][int(s)]
-                right = left if alone else right
-                if not len(left) or not len(right) or alone and len(left) < 2:
-                    continue
+            for _, _, left, right, alone in _sides(table, at):
                 sl = [values[offsets[i] : offsets[i + 1]] for i in left]
                 sr = sl if alone else [values[offsets[i] : offsets[i + 1]] for i in right]
                 nl, nr = np.array([len(x) for x in sl]), np.array([len(x) for x in sr])
@@ -301,14 +346,19 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     blocks = placed.groupBy("cluster").agg(F.expr(f"cast(greatest(ceil(count(*) / {BLOCK_DOCS}), ceil(sum(n) / {BLOCK_FEATURES})) as int)").alias("blocks"))
     placed = placed.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
 
-    wanted = spark.sparkContext.broadcast(bloom(placed.select(F.col("rep").alias("id"))))
-    sets = source.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)).alias("at")).mapInArrow(_features(n, wanted), "id long, h1 long, features array<long>")
-    here = sets.join(placed.withColumnRenamed("rep", "id"), ["id", "h1"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = here.select("cluster", "id", "features", "block", other).select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "features")
-    key = ["cluster", "bi", "bj"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_compare(num, den), "a long, b long")
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_SETS else df
+    where = scratch.keep(placed.select(F.col("rep").alias("id"), "h1", "cluster", "block", "blocks"), "where")
+    here = full.select("id", "h1", "sketch").join(few(where), ["id", "h1"]).dropDuplicates(["id", "h1"])
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = here.select("cluster", "id", "h1", "sketch", "block", other).select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "h1", "sketch")
+    near = dealt.repartition(parts, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(_judge(num, den), "cluster long, bi int, bj int, side int, id long, h1 long")
+    near = scratch.keep(near, "near")
+
+    wanted = spark.sparkContext.broadcast(bloom(near.select("id").distinct()))
+    sets = source.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)).alias("at")).mapInArrow(_features(n, wanted), "id long, h1 long, features array<long>")
+    each = sets.join(few(near), ["id", "h1"]).select(*_KEY, "side", "id", "features")
+    links = each.repartition(parts, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(_compare(num, den), "a long, b long")
     # The texts of one id are one node: each of their classes is tied to the id.
     several = full.groupBy("id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("id")
     same = full.join(several, "id").select("id", "h1").distinct().join(classes.select("h1", "rep"), "h1").select(F.col("rep").alias("a"), F.col("id").alias("b"))
