@@ -62,3 +62,27 @@ def length_table(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:
         (F.col("tokens_to") + (F.col("d") - F.col("docs_to")) * F.col("length")).alias("truncated_tokens"),
         (F.col("docs_to") / F.col("d")).alias("quantile"),
     )
+
+
+def at_limits(table: DataFrame, limits: list[int]) -> DataFrame:
+    """(limit, docs_to, tokens_to, docs_over, tokens_over, truncated_tokens) of a length_table for any context limits.
+
+    One row for each different limit, also where no document is as long; an
+    empty table gives no rows. Each length meets each of the caller's limits
+    in a partial sum.
+    """
+    x = table.select("length", "n_docs", F.explode(F.array(*[F.lit(int(n)).cast("long") for n in sorted(set(limits))])).alias("limit"))
+    fits, tokens = F.col("length") <= F.col("limit"), F.col("n_docs") * F.col("length")
+    part = lambda where, what: F.sum(F.when(where, what).otherwise(0))
+    return x.groupBy("limit").agg(
+        part(fits, F.col("n_docs")).alias("docs_to"),
+        part(fits, tokens).alias("tokens_to"),
+        part(~fits, F.col("n_docs")).alias("docs_over"),
+        part(~fits, tokens).alias("tokens_over"),
+        F.sum(F.col("n_docs") * F.least("length", "limit")).alias("truncated_tokens"),
+    )
+
+
+def quantile(table: DataFrame, share: float) -> DataFrame:
+    """(length): the shortest length that at least this share of the documents don't exceed; null for an empty table."""
+    return table.where(F.col("quantile") >= share).agg(F.min("length").alias("length"))

@@ -333,7 +333,11 @@ def test_token_counts(spark):
     for r in token_counts.length_table(df).collect():
         assert r.docs_from == (n >= r.length).sum() and r.tokens_from == n[n >= r.length].sum()
         assert r.truncated_tokens == np.minimum(n, r.length).sum() and r.tokens_to == n[n <= r.length].sum()
-    assert token_counts.length_table(df.limit(0)).count() == 0
+    table_ = token_counts.length_table(df)
+    for r in token_counts.at_limits(table_, [0, 17, 2048, 2048, 1 << 40]).collect():
+        assert (r.docs_to, r.tokens_to, r.docs_over, r.tokens_over, r.truncated_tokens) == ((n <= r.limit).sum(), n[n <= r.limit].sum(), (n > r.limit).sum(), n[n > r.limit].sum(), np.minimum(n, r.limit).sum())
+    assert token_counts.quantile(table_, 0.5).first()[0] == np.sort(n)[349] and token_counts.quantile(table_, 1.0).first()[0] == n.max()
+    assert token_counts.length_table(df.limit(0)).count() == token_counts.at_limits(table_.limit(0), [5]).count() == 0
     lib = bpe.library(VOCAB[1])
     rows = awkward(n=10)
     got = collections.Counter((r.doc_id, r.n_tokens) for r in token_counts.token_lengths(table(spark, rows), VOCAB[1]).collect())
