@@ -33,23 +33,36 @@ def identifier_search(files: DataFrame, terms: list[str], columns: list[str], na
     return files.where(hit).orderBy(F.length(F.rtrim(F.col(name))), "file_path").limit(n)
 
 
+# Terms up to this number are broadcast to the names.
+FEW_TERMS = 2_000
+
+
 def fuzzy_nearest(terms: DataFrame, names: DataFrame, most: int = 3, min_length: int = 8) -> DataFrame:
     """(term, name, edits) of the nearest name within most edits; ties by name.
 
-    A name of at least min_length letters cut in most + 1 pieces keeps one
-    piece whole through most edits, moved by at most most places. So terms
-    meet names by (length, piece's number, piece): an equi-join with few rows
-    a key, not one by lengths alone.
+    An edit changes a length by at most one. The few terms of a batch of
+    questions go to every task and meet the names of near lengths there. Many
+    terms are joined by pieces: a name cut in most + 1 pieces keeps one whole
+    through most edits, moved by at most most places, so terms meet names by
+    (length, piece's number, piece).
     """
     n = names.where(F.length("name") >= min_length).distinct().withColumn("len", F.length("name"))
+    t = terms.where(F.col("term").isNotNull()).distinct()
+    few = t.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    t = t.withColumn("len", F.explode(F.sequence(F.length("term") - most, F.length("term") + most))).where(F.col("len") >= min_length)
+    pairs = n.join(F.broadcast(t), "len") if few else _by_pieces(t, n, most)
+    pairs = pairs.withColumn("edits", F.levenshtein("term", "name", most)).where("edits >= 0")
+    return pairs.groupBy("term").agg(F.min(F.struct("edits", "name")).alias("x")).select("term", F.col("x.name").alias("name"), F.col("x.edits").alias("edits"))
+
+
+def _by_pieces(t: DataFrame, n: DataFrame, most: int) -> DataFrame:
     number = F.sequence(F.lit(0), F.lit(most))
     start = lambda i: F.floor(i * F.col("len") / (most + 1)).cast("int")
-    n = n.withColumn("i", F.explode(number)).withColumn("piece", F.substring(F.col("name"), start(F.col("i")) + 1, start(F.col("i") + 1) - start(F.col("i"))))
-    t = terms.where(F.col("term").isNotNull()).distinct().withColumn("len", F.explode(F.sequence(F.length("term") - most, F.length("term") + most))).where(F.col("len") >= min_length)
+    size = start(F.col("i") + 1) - start(F.col("i"))
+    n = n.withColumn("i", F.explode(number)).withColumn("piece", F.substring(F.col("name"), start(F.col("i")) + 1, size))
     t = t.withColumn("i", F.explode(number)).withColumn("at", F.explode(F.sequence(start(F.col("i")) - most, start(F.col("i")) + most))).where("at >= 0")
-    t = t.withColumn("piece", F.substring(F.col("term"), F.col("at") + 1, start(F.col("i") + 1) - start(F.col("i"))))
-    pairs = t.join(n, ["len", "i", "piece"]).select("term", "name").distinct().withColumn("edits", F.levenshtein("term", "name", most)).where("edits >= 0")
-    return pairs.groupBy("term").agg(F.min(F.struct("edits", "name")).alias("x")).select("term", F.col("x.name").alias("name"), F.col("x.edits").alias("edits"))
+    t = t.withColumn("piece", F.substring(F.col("term"), F.col("at") + 1, size)).drop("at").distinct()
+    return t.join(n, ["len", "i", "piece"]).select("term", "name").distinct()
 
 
 def fts_score(rank: Column) -> Column:

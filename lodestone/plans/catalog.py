@@ -254,14 +254,13 @@ def pascal_terms(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(T.pascal_terms(x), " ").alias("terms"))
 
 
-@query("""with names as (select distinct s_name as name from supplier where length(s_name) >= 8), t as (select distinct substring(s_name, 1, 9) || reverse(substring(s_name, 10, 2)) || substring(s_name, 12, 99) as term from supplier union select distinct p_name from part),
+@query("""with names as (select distinct s_name as name from supplier where length(s_name) >= 8), t as (select distinct substring(s_name, 1, 9) || reverse(substring(s_name, 10, 2)) || substring(s_name, 12, 99) as term from supplier),
 p as (select term, name, levenshtein(term, name) as edits from t, names where abs(length(term) - length(name)) <= 3)
 select term, x.name as name, x.edits as edits from (select term, min({'edits': edits, 'name': name}) as x from p where edits <= 3 group by term)""")
 def fuzzy_nearest(spark, d):
     s = table(spark, d, "supplier")
     bent = F.concat(F.substring("s_name", 1, 9), F.reverse(F.substring("s_name", 10, 2)), F.substring("s_name", 12, 99))
-    terms = s.select(bent.alias("term")).unionByName(table(spark, d, "part").select(F.col("p_name").alias("term")))
-    return lexical.fuzzy_nearest(terms, s.select(F.col("s_name").alias("name")))
+    return lexical.fuzzy_nearest(s.select(bent.alias("term")), s.select(F.col("s_name").alias("name")))
 
 
 @query(f"""with {_R}, {_FILES}, {_bm25('ff', _FILE_TEXT)},

@@ -87,6 +87,23 @@ def test_fuzzy_terms_keep_their_places(spark):
     assert lexical.corrected(["Unrelated", "OrderQeueu"], names, spark) == ["Unrelated", "OrderQueue"]
 
 
+def test_many_fuzzy_terms_by_pieces(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    names = ["".join(rng.choice("abcAB") for _ in range(rng.randint(8, 14))) for _ in range(150)]
+    terms = []
+    for x in names[:60]:
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(x))
+            x = rng.choice([x[:i] + x[i + 1 :], x[:i] + "z" + x[i:], x[:i] + "z" + x[i + 1 :]])
+        terms.append(x)
+    n, t = spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x,) for x in [*terms, None, ""]], "term string")
+    few = sorted(map(tuple, lexical.fuzzy_nearest(t, n).collect()))
+    monkeypatch.setattr(lexical, "FEW_TERMS", 10)
+    assert sorted(map(tuple, lexical.fuzzy_nearest(t, n).collect())) == few and len(few) > 40
+
+
 def test_incomplete_build_changes_nothing(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     embed = K.hashing_embedder(8)
