@@ -1,4 +1,4 @@
-"""Exact n-gram Jaccard self-join with PartEnum signatures.
+"""Exact n-gram Jaccard self-join with PartEnum signatures, or with prefixes below PARTENUM_FROM.
 
 A document's set holds the hashes of its distinct word n-grams. Two sets of
 sizes a and b with Jaccard at least t = num/den differ in at most
@@ -10,11 +10,21 @@ pair in the band at least one part holds at most k2 differences, where
 equal on both sides. Every such choice is a signature: no qualifying pair is
 missed. A set also takes part in the bands of the larger sizes it can match.
 
-That bound holds always and is kept with miss = 0. Below a threshold of about
-0.9 its choices hold few features each, and unlike sets meet. With miss > 0 a
-choice is a set of parts that holds about FEATURES features, and there are as
-many choices as leave a pair without an equal one with at most that
-probability. Choices of several parts overlap, so their number is taken from a
+That bound holds always. Below a threshold of about 0.9 its choices hold few
+features each, and unlike sets meet. There, with miss = 0, sets are sifted and
+meet by prefixes, which loses nothing either. Of a set of n features at most
+n(den - num)/den are not in a partner. So of the features with a hash in the
+lowest part of the domain, which every set shows, all but so many must occur in
+another set; most sets without a partner go by that. For those left, features
+are ordered by how many sets hold them (in levels, by a map of fixed size), the
+rarest first. The first feature in that order that two partners have in common
+is among the first n(den - num)/den + 1 of either, so these are the signatures;
+a feature that no other set holds needs no signature. Any order that is the same
+for all sets would do: collisions in the map cost time, not links.
+
+With miss > 0 a choice is a set of parts that holds about FEATURES features,
+and there are as many choices as leave a pair without an equal one with at most
+that probability. Choices of several parts overlap, so their number is taken from a
 simulation of pairs; choices of one part each never do, and the product of
 their probabilities is a bound. Choices without features are left out.
 
@@ -56,6 +66,10 @@ PARTS, FEATURES = 64, 10
 # Pairs simulated for a band, the share of miss that may be left there, and the largest set whose bands are drawn before the job.
 TRIALS, MARGIN, DRAWN = 200_000, 0.7, 2_000
 FIRST = 8
+# At lower thresholds (num, den), sets meet by prefixes.
+PARTENUM_FROM = 9, 10
+# Places of the map of levels: four to eight for each feature of several sets, within these powers of two.
+LEAST_PLACES, MOST_PLACES = 20, 26
 
 
 class Bands:
@@ -188,6 +202,58 @@ def _sign(n: int, num: int, den: int, miss: float, growth: float = 0.0, two_leve
     return run
 
 
+def _sample(n: int, num: int, den: int):
+    """Rows as of _sign; sigs: the upper 40 bits of the features in the lowest 2(den - num)/den of the domain, each once."""
+    edge = U64(min((1 << 64) - 1, (1 << 65) * (den - num) // den))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 2000):
+                b = batch.slice(lo, 2000)
+                sets = list(_sets(b.column(1), n))
+                sigs = [np.unique(s[: np.searchsorted(s, edge, "right")] >> U64(24)) for s in sets]
+                h1 = np.array([class_key(s) for s in sets], U64).view(np.int64)
+                cells = [sketch(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), K.ragged(np.concatenate(sigs).view(np.int64), [len(x) for x in sigs], pa.int64()), pa.array(cells, pa.binary())], ["id", "n", "h1", "sigs", "sketch"])
+
+    return run
+
+
+def levels(counts: DataFrame) -> np.ndarray:
+    """A map of half a byte a place: the largest level of the features (sig) that fall into it, by the number of sets (c) that hold them."""
+    places = 1 << min(MOST_PLACES, max(LEAST_PLACES, (4 * counts.count()).bit_length()))
+    at = counts.groupBy(F.col("sig").bitwiseAND(places - 1).alias("at")).agg(F.max(F.expr("least(15, length(bin(c - 1)))")).alias("level"))
+    got = at.groupBy(F.shiftright("at", 4).alias("w")).agg(F.expr("bit_or(shiftleft(cast(level as bigint), cast(4 * (at & 15) as int)))").alias("b")).toArrow()
+    out = np.zeros(places // 16, np.int64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _prefixes(level_map, num: int, den: int):
+    """(sig, node): of each set (h1, features) the rarest features that a partner must share one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = level_map.value
+        for batch in batches:
+            for lo in range(0, len(batch), 100):
+                b = batch.slice(lo, 100)
+                lists = b.column(1)
+                s, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+                row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+                at = s & (2 * len(places) - 1)
+                level = (places[at >> 1] >> ((at & 1) << 2).astype(np.uint8)) & 15
+                apart = size * (den - num) // den
+                found = np.bincount(row, weights=level > 0, minlength=len(size)) >= size - apart
+                order = np.lexsort((s, level, row))
+                first = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size) <= apart[row]
+                order = order[first & found[row]]
+                order = order[level[order] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(s[order]), b.column(0).take(pa.array(row[order]))], ["sig", "node"])
+        K.release()
+
+    return run
+
+
 def bloom(ids: DataFrame, bits: int = BLOOM_BITS, hashed: bool = False) -> np.ndarray:
     """A bitmap over the hashes of ids, of bits / 8 bytes whatever the number of ids; hashed: they are places in it."""
     at = F.col("id") if hashed else F.pmod(F.xxhash64("id"), F.lit(bits))
@@ -313,6 +379,49 @@ def _compare(num: int, den: int):
     return run
 
 
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_SETS else df
+
+
+def _by_signatures(scratch: Scratch, full: DataFrame) -> DataFrame:
+    """(node, root) of the classes that share a signature."""
+    rows = full.select(F.explode("sigs").alias("sig"), "h1")
+    shared = scratch.keep(rows.groupBy("sig").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("sig", F.col("lo").alias("b")), "shared")
+    bitmap = scratch.spark.sparkContext.broadcast(bloom(shared.select(F.col("sig").bitwiseAND(SHARED_BITS - 1).alias("id")), SHARED_BITS, hashed=True))
+    # a few signatures tie large groups together; the rest then see one node for each group
+    some = full.select("h1", "sigs").mapInArrow(_shared(bitmap, FIRST), "sig long, node long").join(shared, "sig")
+    first = components(scratch, some.where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    nodes = full.select("h1", "sigs").join(first, F.col("h1") == F.col("node"), "left").select(F.coalesce("root", "h1").alias("node"), "sigs")
+    rest = scratch.keep(nodes.mapInArrow(_shared(bitmap, 1), "sig long, node long").distinct(), "rest")
+    least = rest.groupBy("sig").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b < hi").select("sig", "b")
+    more = rest.join(least, "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    return components(scratch, more.unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def _by_prefixes(scratch: Scratch, source: DataFrame, full: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(node, root) of the classes that share a feature of their prefixes.
+
+    Repeated rows only raise counts: more classes are left, or in another order.
+    """
+    context = scratch.spark.sparkContext
+    several = scratch.keep(full.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig"), "several")
+    bitmap = context.broadcast(bloom(several.select(F.col("sig").bitwiseAND(SHARED_BITS - 1).alias("id")), SHARED_BITS, hashed=True))
+    hits = full.select("h1", "sigs").mapInArrow(_shared(bitmap, 1), "sig long, node long").join(several, "sig").groupBy("node").agg(F.count("*").alias("hits"))
+    shown = full.groupBy("h1").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max(F.size("sigs")).alias("shown"))
+    left = shown.join(hits, F.col("h1") == F.col("node"), "left").where(f"coalesce(hits, 0) >= shown - n * {den - num} div {den}")
+    left = scratch.keep(left.select("id", "h1"), "left")
+
+    wanted = context.broadcast(bloom(left.select("id")))
+    sets = source.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)).alias("at")).mapInArrow(_features(n, wanted), "id long, h1 long, features array<long>")
+    sets = scratch.keep(sets.join(_few(left), ["id", "h1"]).select("h1", "features"), "sets")
+    counts = scratch.keep(sets.select(F.explode("features").alias("sig")).groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    level_map = context.broadcast(levels(counts))
+    rest = scratch.keep(sets.mapInArrow(_prefixes(level_map, num, den), "sig long, node long").distinct(), "rest")
+    scratch.drop(several, left, sets, counts)
+    least = rest.groupBy("sig").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b < hi").select("sig", "b")
+    return components(scratch, rest.join(least, "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+
+
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, miss: float = 0.0) -> DataFrame:
     """One row per input row: (id_col, n_shingles, component_id).
 
@@ -326,30 +435,20 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """
     scratch = Scratch(spark, "ngram-jaccard")
     source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = scratch.keep(source.mapInArrow(_sign(n, num, den, miss), SIGNED), "signed")
+    by_prefix = not miss and num * PARTENUM_FROM[1] < den * PARTENUM_FROM[0]
+    signed = scratch.keep(source.mapInArrow(_sample(n, num, den) if by_prefix else _sign(n, num, den, miss), SIGNED), "signed")
     full = signed.where("n > 0 and id is not null")
     classes = scratch.keep(full.groupBy("h1").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
 
-    rows = full.select(F.explode("sigs").alias("sig"), "h1")
-    shared = scratch.keep(rows.groupBy("sig").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("sig", F.col("lo").alias("b")), "shared")
-    bitmap = spark.sparkContext.broadcast(bloom(shared.select(F.col("sig").bitwiseAND(SHARED_BITS - 1).alias("id")), SHARED_BITS, hashed=True))
-    # a few signatures tie large groups together; the rest then see one node for each group
-    some = full.select("h1", "sigs").mapInArrow(_shared(bitmap, FIRST), "sig long, node long").join(shared, "sig")
-    first = components(scratch, some.where("node <> b").select(F.col("node").alias("a"), "b").distinct())
-    nodes = full.select("h1", "sigs").join(first, F.col("h1") == F.col("node"), "left").select(F.coalesce("root", "h1").alias("node"), "sigs")
-    rest = scratch.keep(nodes.mapInArrow(_shared(bitmap, 1), "sig long, node long").distinct(), "rest")
-    least = rest.groupBy("sig").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b < hi").select("sig", "b")
-    more = rest.join(least, "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    tied = components(scratch, more.unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    tied = _by_prefixes(scratch, source, full, n, num, den) if by_prefix else _by_signatures(scratch, full)
     tied = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
     placed = scratch.keep(tied.join(classes, tied.node == classes.h1).select("h1", "rep", "n", F.col("root").alias("cluster")), "placed")
     blocks = placed.groupBy("cluster").agg(F.expr(f"cast(greatest(ceil(count(*) / {BLOCK_DOCS}), ceil(sum(n) / {BLOCK_FEATURES})) as int)").alias("blocks"))
     placed = placed.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_SETS else df
     where = scratch.keep(placed.select(F.col("rep").alias("id"), "h1", "cluster", "block", "blocks"), "where")
-    here = full.select("id", "h1", "sketch").join(few(where), ["id", "h1"]).dropDuplicates(["id", "h1"])
+    here = full.select("id", "h1", "sketch").join(_few(where), ["id", "h1"]).dropDuplicates(["id", "h1"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = here.select("cluster", "id", "h1", "sketch", "block", other).select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "h1", "sketch")
     near = dealt.repartition(parts, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(_judge(num, den), "cluster long, bi int, bj int, side int, id long, h1 long")
@@ -357,7 +456,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
     wanted = spark.sparkContext.broadcast(bloom(near.select("id").distinct()))
     sets = source.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)).alias("at")).mapInArrow(_features(n, wanted), "id long, h1 long, features array<long>")
-    each = sets.join(few(near), ["id", "h1"]).select(*_KEY, "side", "id", "features")
+    each = sets.join(_few(near), ["id", "h1"]).select(*_KEY, "side", "id", "features")
     links = each.repartition(parts, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(_compare(num, den), "a long, b long")
     # The texts of one id are one node: each of their classes is tied to the id.
     several = full.groupBy("id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("id")

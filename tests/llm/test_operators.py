@@ -66,6 +66,28 @@ def test_ngram_jaccard(spark, n, num, miss):
     assert got == {i: (len(sets[i]), root[i]) for i in sets}
 
 
+@pytest.mark.parametrize("n,num", [(5, 80), (3, 60), (2, 45)])
+def test_ngram_jaccard_by_prefixes(spark, n, num):
+    """Below 0.9: copies with more and more changes, common passages and sets of a few shingles, against all pairs."""
+    rng = random.Random(n)
+    rows, common = awkward(), " ".join(f"c{i}" for i in range(12))
+    for k in range(40):
+        words = [f"v{rng.randrange(60 if k % 2 else 10**6)}" for _ in range(rng.randrange(1, 70))]
+        for _ in range(6):
+            rows.append((10_000 + len(rows), " ".join([common, *words] if k % 3 == 0 else words)))
+            words[rng.randrange(len(words))] = f"v{rng.randrange(10**6)}"
+            words += words[: rng.randrange(2)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard(spark, table(spark, rows), n=n, num=num).collect()}
+    sets, root = {i: grams(t, n) for i, t in rows}, {i: i for i, _ in rows}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x = len(sets[a] & sets[b])
+        if x and 100 * x >= num * (len(sets[a]) + len(sets[b]) - x) and root[a] != root[b]:
+            lo, hi = sorted((root[a], root[b]))
+            root = {k: lo if v == hi else v for k, v in root.items()}
+    assert got == {i: (len(sets[i]), root[i]) for i in sets}
+    assert 0 < sum(i != r for i, r in root.items()) < len(root)
+
+
 def test_ngram_jaccard_empty_and_null_ids(spark):
     assert ngram_jaccard(spark, table(spark, [])).count() == 0
     got = ngram_jaccard(spark, table(spark, [(None, "a b c d"), (5, "a b c d")])).collect()

@@ -83,3 +83,13 @@ def test_stages_with_empty_tables_and_ties(spark):
     assert sorted(r.k for r in corpus_pipeline.jaccard_stage(spark, tied, DATA).collect()) == [2, 3]
     lines = spark.createDataFrame([(None, "a\nb\nc", 1), (1, "a\nb\nc", 2), (2, "a\nb\nc\nd e f", 3), (2, None, 4), (3, "a\nb\nc", 5)], "doc_id long, text string, line_dedup long")
     assert sorted((r.line_dedup, r.text) for r in corpus_pipeline.line_stage(spark, lines, DATA).collect() if r.text) == [(1, "a\nb\nc"), (2, "a\nb\nc"), (3, "d e f")]
+
+
+def test_jaccard_stage_loses_no_pair_at_the_threshold(spark):
+    """Each second text is the first with a quarter more 5-word shingles; random choices of parts had left these pairs out."""
+    rows = []
+    for seed, short, long in [(8058, 8, 9), (11448, 8, 9), (17877, 8, 9), (20256, 8, 9), (16578, 20, 24), (26143, 20, 24)]:
+        words = [f"w{seed}x{i}" for i in range(long)]
+        rows += [(2 * seed, " ".join(words[:short])), (2 * seed + 1, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.jaccard_stage(spark, docs, DATA).collect()) == sorted(i for i, _ in rows[::2])
