@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
+from ..sources.store import shared_root
 from .fulltext import TextIndex, bm25
 from .hybrid import file_text
 
@@ -35,31 +37,83 @@ def identifier_search(files: DataFrame, terms: list[str], columns: list[str], na
 
 # Terms up to this number are broadcast to the names.
 FEW_TERMS = 2_000
+# Names of more letters than this meet many terms by pieces: the ways to leave out letters grow with a power of the length.
+LONGEST = 40
 
 
 def fuzzy_nearest(terms: DataFrame, names: DataFrame, most: int = 3, min_length: int = 8) -> DataFrame:
     """(term, name, edits) of the nearest name within most edits; ties by name.
 
-    An edit changes a length by at most one. The few terms of a batch of
-    questions go to every task and meet the names of near lengths there. Many
-    terms are joined by pieces: a name cut in most + 1 pieces keeps one whole
-    through most edits, moved by at most most places, so terms meet names by
-    (length, piece's number, piece).
+    Terms that are names meet them by equality. The few others of a batch of
+    questions go to every task and meet the names of near lengths there, since
+    an edit changes a length by at most one. Of many, those at one edit are
+    looked for first, then the rest at two, and so on, so a term that has a
+    near name meets none of its farther ones.
     """
-    n = names.where(F.length("name") >= min_length).distinct().withColumn("len", F.length("name"))
-    t = terms.where(F.col("term").isNotNull()).distinct()
-    few = t.limit(FEW_TERMS + 1).count() <= FEW_TERMS
-    t = t.withColumn("len", F.explode(F.sequence(F.length("term") - most, F.length("term") + most))).where(F.col("len") >= min_length)
-    pairs = n.join(F.broadcast(t), "len") if few else _by_pieces(t, n, most)
-    pairs = pairs.withColumn("edits", F.levenshtein("term", "name", most)).where("edits >= 0")
-    return pairs.groupBy("term").agg(F.min(F.struct("edits", "name")).alias("x")).select("term", F.col("x.name").alias("name"), F.col("x.edits").alias("edits"))
+    spark, parts = terms.sparkSession, int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # With a number, so that few bytes are still many tasks.
+    n = names.where(F.length("name") >= min_length).select("name").repartition(parts, "name").distinct()
+    t = terms.where(F.col("term").isNotNull()).select("term").distinct()
+    same = t.join(n, t.term == n.name).select("term", "name", F.lit(0).alias("edits"))
+    left = t.join(n, t.term == n.name, "left_anti")
+    if left.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
+        return same.unionByName(_nearest(_by_length(left, n, most), most))
+    root, found = f"{shared_root(spark)}/fuzzy-{uuid.uuid4().hex}", [same]
+    stored = lambda df, part: (df.write.parquet(f"{root}/{part}"), spark.read.schema(df.schema).parquet(f"{root}/{part}"))[1]
+    left, n = stored(left, "left0"), stored(n, "names")
+    for k in range(1, most + 1):
+        if k > 1 and left.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
+            return reduce(DataFrame.unionByName, [*found, _nearest(_by_length(left, n, most), most)])
+        pairs = _by_letters_left_out(left.repartition(parts, "term"), n.where(F.length("name") <= LONGEST).repartition(parts, "name"), k)
+        pairs = pairs.unionByName(_by_pieces(left, n.where(F.length("name") > LONGEST), k))
+        found.append(stored(_nearest(pairs, k), f"found{k}"))
+        left = stored(left.join(found[-1], "term", "left_anti"), f"left{k}")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(pairs: DataFrame, most: int) -> DataFrame:
+    x = pairs.withColumn("edits", F.levenshtein("term", "name", most)).where("edits >= 0")
+    x = x.groupBy("term").agg(F.min(F.struct("edits", "name")).alias("x"))
+    return x.select("term", F.col("x.name").alias("name"), F.col("x.edits").alias("edits"))
+
+
+def _by_length(t: DataFrame, n: DataFrame, most: int) -> DataFrame:
+    t = t.withColumn("len", F.explode(F.sequence(F.length("term") - most, F.length("term") + most)))
+    return n.withColumn("len", F.length("name")).join(F.broadcast(t), "len").select("term", "name")
+
+
+def _by_letters_left_out(t: DataFrame, n: DataFrame, k: int) -> DataFrame:
+    """Pairs among which are all at exactly k edits.
+
+    Such a pair is one text once letters are left out of both, k of the longer
+    one and k less the difference of the lengths of the other. So they meet by
+    the hash of that text; how many names share one is bounded by the
+    alphabet and their length, also where all begin alike.
+    """
+
+    def rest(df: DataFrame, name: str) -> DataFrame:
+        x = df.select(name, F.col(name).alias("s"), F.lit(1).alias("from"), F.lit(0).alias("out"))
+        parts = []
+        for i in range(k + 1):
+            parts.append(x.select(name, F.length(name).alias(f"{name}_len"), F.xxhash64("s").alias("hash"), "out"))
+            if i < k:
+                x = x.where(F.col("from") <= F.length("s")).withColumn("at", F.explode(F.sequence(F.col("from"), F.length("s"))))
+                cut = F.concat(F.substring(F.col("s"), F.lit(1), F.col("at") - 1), F.substring(F.col("s"), F.col("at") + 1, F.length("s")))
+                x = x.select(name, cut.alias("s"), F.col("at").alias("from"), F.lit(i + 1).alias("out"))
+        return reduce(DataFrame.unionByName, parts)
+
+    both = rest(t, "term").distinct().join(rest(n, "name").withColumnRenamed("out", "name_out").distinct(), "hash")
+    longer = F.greatest("out", "name_out") == k
+    return both.where(longer & (F.col("out") - F.col("name_out") == F.col("term_len") - F.col("name_len"))).select("term", "name")
 
 
 def _by_pieces(t: DataFrame, n: DataFrame, most: int) -> DataFrame:
+    """Pairs among which are all within most edits: a name cut in most + 1 pieces keeps one whole, moved by at most most places."""
     number = F.sequence(F.lit(0), F.lit(most))
     start = lambda i: F.floor(i * F.col("len") / (most + 1)).cast("int")
     size = start(F.col("i") + 1) - start(F.col("i"))
-    n = n.withColumn("i", F.explode(number)).withColumn("piece", F.substring(F.col("name"), start(F.col("i")) + 1, size))
+    n = n.withColumn("len", F.length("name")).withColumn("i", F.explode(number)).withColumn("piece", F.substring(F.col("name"), start(F.col("i")) + 1, size))
+    t = t.withColumn("len", F.explode(F.sequence(F.length("term") - most, F.length("term") + most))).where(F.col("len") > LONGEST)
     t = t.withColumn("i", F.explode(number)).withColumn("at", F.explode(F.sequence(start(F.col("i")) - most, start(F.col("i")) + most))).where("at >= 0")
     t = t.withColumn("piece", F.substring(F.col("term"), F.col("at") + 1, size)).drop("at").distinct()
     return t.join(n, ["len", "i", "piece"]).select("term", "name").distinct()

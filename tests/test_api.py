@@ -104,6 +104,66 @@ def test_many_fuzzy_terms_by_pieces(spark, monkeypatch):
     assert sorted(map(tuple, lexical.fuzzy_nearest(t, n).collect())) == few and len(few) > 40
 
 
+def _joined(node) -> int:
+    """Rows that the joins of an executed plan put out."""
+    name, inner = node.getClass().getSimpleName(), []
+    if name == "AdaptiveSparkPlanExec":
+        inner = [node.executedPlan()]
+    elif name.endswith("QueryStageExec"):
+        inner = [node.plan()]
+    else:
+        inner = [node.children().apply(i) for i in range(node.children().size())]
+    own = node.metrics().apply("numOutputRows").value() if "Join" in name and node.metrics().contains("numOutputRows") else 0
+    return own + sum(map(_joined, inner))
+
+
+def test_fuzzy_terms_that_are_names_meet_no_others(spark):
+    """Names that begin alike share most of their pieces; that must not pair all with all."""
+    x = spark.range(3000).select(F.format_string("Supplier#%09d", "id").alias("s"))
+    near = lexical.fuzzy_nearest(x.select(F.col("s").alias("term")), x.select(F.col("s").alias("name")))
+    got = near.collect()
+    assert len(got) == 3000 and all(r.term == r.name and r.edits == 0 for r in got)
+    assert _joined(near._jdf.queryExecution().executedPlan()) <= 3 * 3000
+
+
+@pytest.mark.parametrize("longest", [40, 18, 0])
+def test_many_fuzzy_terms_equal_all_pairs(spark, monkeypatch, longest):
+    import random
+
+    rng = random.Random(5)
+    names = [f"Part#{i:06d}"[: 8 + i % 4] + "xyz"[: i % 3] for i in range(150)] + ["Warehouse" * 6 + str(i) for i in range(10)] + ["short"]
+    terms = ["", "Part#"]
+    for i in range(240):
+        x = list(rng.choice(names))
+        for _ in range(i % 5):
+            at = rng.randrange(len(x))
+            x[at : at + rng.randrange(2)] = [rng.choice("P0123q")] * rng.randrange(2)
+        terms.append("".join(x))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row = _next(row, i, c, b)
+        return row[-1]
+
+    def _next(row, i, c, b):
+        out = [i]
+        for j, d in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (c != d)))
+        return out
+
+    want = {}
+    for t in set(terms):
+        near = min((distance(t, n), n) for n in names if len(n) >= 8)
+        if near[0] <= 3:
+            want[t] = near
+    monkeypatch.setattr(lexical, "FEW_TERMS", 3)
+    monkeypatch.setattr(lexical, "LONGEST", longest)
+    got = lexical.fuzzy_nearest(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert {r.term: (r.edits, r.name) for r in got} == want and len(got) == len(want)
+    assert {k for k, _ in want.values()} == {0, 1, 2, 3}
+
+
 def test_incomplete_build_changes_nothing(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     embed = K.hashing_embedder(8)
