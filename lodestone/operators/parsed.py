@@ -1,8 +1,9 @@
 """Parsed files: chunks and metadata fields of every file, one pass over each text.
 
 A parser keeps state along a text, which no built-in expresses, so both
-operators are Arrow batches through ``mapInPandas``. They need no shuffle:
-merging, splitting and previews happen within a file's own row.
+operators are Arrow batches. Merging, splitting and previews happen within a
+file's own row; files are dealt out once before, since a table of few bytes
+is read by few tasks and parsing costs far more than reading.
 """
 
 from __future__ import annotations
@@ -20,23 +21,37 @@ from ..parsing import chunker, metadata
 CHUNKS = "file_id long, file_path string, seq int, chunk_type string, name string, content string, start_line int, end_line int, signature string, namespace string, class_name string, parent_context string"
 
 
+# Chunks of an output batch, about as many as the files of an input batch.
+BATCH = 2_000
+
+
+def _dealt(files: DataFrame, *columns: str) -> DataFrame:
+    """The files over all tasks; with a number, so that few bytes are not put together again."""
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select(F.col("file_id").cast("long"), *columns).repartition(max(parts, files.sparkSession.sparkContext.defaultParallelism), "file_id")
+
+
 def _chunks(least: int, most: int, ceiling: int):
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["file_id", "file_path", *chunker.FIELDS])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
+            rows: list[dict] = []
             for i, path, content in zip(x.file_id, x.file_path, x.content, strict=True):
-                rows = chunker.chunk(path or "", content, least, most, ceiling)
-                if rows:
-                    out = pd.DataFrame(rows)[chunker.FIELDS]
-                    out.insert(0, "file_path", path)
-                    out.insert(0, "file_id", i)
-                    yield out
+                rows += [{"file_id": i, "file_path": path} | r for r in chunker.chunk(path or "", content, least, most, ceiling)]
+                if len(rows) >= BATCH:
+                    yield frame(rows)
+                    rows = []
+            if rows:
+                yield frame(rows)
 
     return run
 
 
 def chunk_files(files: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """files (file_id, file_path, content) -> chunks with their key, sized by the settings. Blank files have none."""
-    out = files.select(F.col("file_id").cast("long"), "file_path", "content").mapInPandas(_chunks(cfg.min_chunk_tokens, cfg.max_chunk_tokens, cfg.overlap_ceiling), CHUNKS)
+    out = _dealt(files, "file_path", "content").mapInPandas(_chunks(cfg.min_chunk_tokens, cfg.max_chunk_tokens, cfg.overlap_ceiling), CHUNKS)
     return out.withColumn("content", F.substring("content", 1, cfg.chunk_chars)).withColumn("chunk_key", chunk_key())
 
 
