@@ -82,5 +82,5 @@ def _metadata(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract_metadata(files: DataFrame) -> DataFrame:
     """files (file_id, content) -> the 27 fields as joined text; all are empty where the text is blank."""
     schema = "file_id long, " + ", ".join(f"{f} array<string>" for f in metadata.FIELDS)
-    x = files.select(F.col("file_id").cast("long"), "content").mapInPandas(_metadata, schema)
+    x = _dealt(files, "content").mapInPandas(_metadata, schema)
     return x.select("file_id", *[F.array_join(f, sep or "").alias(f) for f, sep in metadata.FIELDS.items()])

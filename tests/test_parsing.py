@@ -135,6 +135,6 @@ def test_files_of_one_small_table_are_parsed_by_many_tasks(spark):
     """A table of few bytes is read by one task, and may hold a million files."""
     code = F.concat(F.lit("namespace N { class C"), F.col("file_id").cast("string"), F.lit(" { int A() { return 1; } } }"))
     df = spark.range(3000).withColumnRenamed("id", "file_id").coalesce(1).withColumns({"file_path": F.lit("a.cs"), "content": code})
-    for x in (chunk_files(df),):
+    for x in (chunk_files(df), extract_metadata(df)):
         tasks = x.select("file_id", F.spark_partition_id().alias("p")).groupBy("p").agg(F.countDistinct("file_id").alias("n")).collect()
         assert sum(r.n for r in tasks) == 3000 and len(tasks) > 1 and max(r.n for r in tasks) < 1000
