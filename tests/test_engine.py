@@ -102,6 +102,28 @@ def test_stored_index_equals_plans_over_the_table(spark, tmp_path, monkeypatch):
     assert "PartitionFilters: [bucket" in text or "PartitionFilters: [isnotnull(bucket" in text and "PushedFilters: [In(term" in text
 
 
+def test_an_index_is_stored_in_blocks(spark, tmp_path, monkeypatch):
+    """Postings of a task are put together by term before they are shuffled; blocks of few words change nothing."""
+    from lodestone.operators import fulltext
+
+    docs = spark.range(400, numPartitions=4).select(F.col("id"), F.concat(F.lit("Every line "), F.col("id") % 3, F.lit(" every "), F.col("id")).alias("body"))
+    docs = docs.union(spark.createDataFrame([(-7, None), (2**62, "line LINE")], "id long, body string"))
+    plain = fulltext.TextIndex.over(docs, "id", ["body"])
+    want = sorted(map(tuple, plain.postings.collect()))
+    for words, blocks in ((2_000_000, 16), (40, 1000)):
+        monkeypatch.setattr(fulltext, "WORDS", words)
+        plain.write(str(tmp_path / str(words)))
+        stored = fulltext.TextIndex.open(spark, str(tmp_path / str(words)))
+        assert sorted(map(tuple, stored.postings.collect())) == want
+        assert sorted(map(tuple, stored.terms.collect())) == sorted(map(tuple, plain.terms.collect()))
+        assert stored.stats.collect() == plain.stats.collect()
+        assert spark.read.parquet(str(tmp_path / str(words) / "postings")).where("term = 'line'").count() <= blocks
+    empty = fulltext.TextIndex.over(docs.limit(0), "id", ["body"])
+    empty.write(str(tmp_path / "empty"))
+    none = fulltext.TextIndex.open(spark, str(tmp_path / "empty"))
+    assert none.postings.count() == none.terms.count() == 0 and [tuple(r) for r in none.stats.collect()] == [(0, None)]
+
+
 def test_vectors_of_another_length_are_refused(spark):
     from lodestone.operators import vectors
 
