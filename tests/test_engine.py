@@ -1,6 +1,7 @@
 """Expectations of the gate, globs, repository addresses, settings, grounding and the store."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,23 @@ def test_an_index_is_stored_in_blocks(spark, tmp_path, monkeypatch):
     assert none.postings.count() == none.terms.count() == 0 and [tuple(r) for r in none.stats.collect()] == [(0, None)]
 
 
+def test_hits_of_one_rank_are_numbered_by_many_tasks(spark):
+    from lodestone.operators import fulltext
+
+    ids = [*range(0, 6000, 2), -(2**62), 2**62, -1]
+    hits = spark.createDataFrame([(q, i, 40 + (i % 20 == 0)) for q in (1, 2) for i in ids if q == 1 or -5 < i < 999] + [(3, 5, 50), (3, 6, 9)], "query_id long, id long, rank int")
+    got = sorted(map(tuple, fulltext.ranked(hits, 10).collect()))
+    want = []
+    for q in (1, 2, 3):
+        mine = sorted((-r.rank, r.id) for r in hits.where(f"query_id = {q} and rank >= 10").collect())
+        want += [(q, i, -r, p) for p, (r, i) in enumerate(mine, 1)]
+    assert got == sorted(want)
+    even = spark.range(64_000).select((F.col("id") % 1).alias("query_id"), "id", (F.col("id") % 1 + 7).cast("int").alias("rank"))
+    plan = fulltext.ranked(even, 1)._jdf.queryExecution().executedPlan().toString()
+    dealt = set(re.findall(r"hashpartitioning\(([^)]*?), \d+\)", plan))
+    assert dealt and all(re.fullmatch(r"query_id#\d+L?, rank#\d+, part#\d+|query_id#\d+L?", x) for x in dealt)
+
+
 def test_vectors_of_another_length_are_refused(spark):
     from lodestone.operators import vectors
 
