@@ -142,6 +142,20 @@ def test_hits_of_one_rank_are_numbered_by_many_tasks(spark):
     assert dealt and all(re.fullmatch(r"query_id#\d+L?, rank#\d+, part#\d+|query_id#\d+L?", x) for x in dealt)
 
 
+def test_vectors_of_their_own_meet_only_the_vector_leg(spark):
+    from lodestone.operators.hybrid import hybrid_search
+
+    files = spark.createDataFrame([(i, f"f{i}.cs", "one two") for i in range(4)], "file_id long, file_path string, content string")
+    chunks = spark.createDataFrame([(10 * f + c, f, "line" if c else "head", f"one word{c}") for f in range(4) for c in range(3)], "chunk_id long, file_id long, chunk_type string, content string")
+    vectors = spark.createDataFrame([(i, [1.0, i / 10]) for i in (0, 1, 11, 30, 99)], "chunk_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, "word1 two", [1.0, 0.5]), (2, "one", None)], "query_id long, text string, vector array<float>")
+    joined = chunks.join(vectors, "chunk_id", "left")
+    for kind in (None, "head"):
+        want = sorted(map(tuple, hybrid_search(spark, asked, files, joined, 7, chunk_type=kind).collect()))
+        got = hybrid_search(spark, asked, files, chunks, 7, chunk_type=kind, vectors=vectors)
+        assert sorted(map(tuple, got.collect())) == want and {r[0] for r in want} == {1, 2} and any(r[8] is not None for r in want)
+
+
 def test_vectors_of_another_length_are_refused(spark):
     from lodestone.operators import vectors
 
